@@ -4,13 +4,13 @@ from __future__ import annotations
 
 
 def queries() -> dict:
-    from . import chat, lines, mixing, urls
+    from . import chat, exact, lines, mixing, sharding, urls
 
-    out = {f.__name__: f for f in (urls.op1_url_filter, chat.op4_chat_rotation, lines.op8_line_dedup, mixing.op9_source_mixing)}
+    out = {f.__name__: f for f in (urls.op1_url_filter, chat.op4_chat_rotation, sharding.op7_kd_tree_sharding, lines.op8_line_dedup, mixing.op9_source_mixing, exact.op10_stream_exact_dedup)}
     return out
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import chat, lines, urls
+    from . import chat, exact, lines, urls
 
-    return {"op1_url_filter": urls.OP1_SQL, "op4_chat_rotation": chat.OP4_SQL, "op8_line_dedup": lines.OP8_SQL}
+    return {"op1_url_filter": urls.OP1_SQL, "op4_chat_rotation": chat.OP4_SQL, "op8_line_dedup": lines.OP8_SQL, "op10_stream_exact_dedup": exact.OP10_SQL}
