@@ -4,9 +4,9 @@ from __future__ import annotations
 
 
 def queries() -> dict:
-    from . import bpe, chat, exact, lines, mixing, sharding, simhash, urls
+    from . import bpe, caps, chat, exact, lines, mixing, sharding, simhash, toxicity, urls
 
-    out = {f.__name__: f for f in (urls.op1_url_filter, simhash.op3_simhash_pivots, chat.op4_chat_rotation, bpe.op6_prefix_bpe, sharding.op7_kd_tree_sharding, lines.op8_line_dedup, mixing.op9_source_mixing, exact.op10_stream_exact_dedup)}
+    out = {f.__name__: f for f in (urls.op1_url_filter, caps.op2_spherical_caps, simhash.op3_simhash_pivots, chat.op4_chat_rotation, toxicity.op5_toxicity_noisy_or, bpe.op6_prefix_bpe, sharding.op7_kd_tree_sharding, lines.op8_line_dedup, mixing.op9_source_mixing, exact.op10_stream_exact_dedup)}
     return out
 
 
