@@ -11,7 +11,13 @@ from pyspark.sql import functions as F
 
 from .common import SPACE, cut, shared_dir
 
-ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: State is kept in RocksDB; each batch saves its changes, and whole stores only now and then. Space isn't allotted ahead of need.
+STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.noDataMicroBatches.enabled": "false",
+}
 #: Input files of a micro-batch.
 BATCH_FILES = 256
 
@@ -51,7 +57,7 @@ def absorb(stream: DataFrame, folder: str, digest: Callable[[Column], Column] =
     def keep(batch: DataFrame, number: int) -> None:
         batch.select("digest", F.col("first.doc_id").alias("keep_id"), F.col("first.file").alias("locator"), "n").write.mode("overwrite").parquet(f"{folder}/states/batch={number}")
 
-    with _settings(spark, {"spark.sql.streaming.stateStore.providerClass": ROCKS, "spark.sql.streaming.noDataMicroBatches.enabled": "false"}):
+    with _settings(spark, STATE):
         query = state.writeStream.outputMode("update").option("checkpointLocation", f"{folder}/stream").trigger(availableNow=True).foreachBatch(keep).start()
         query.awaitTermination()
 
