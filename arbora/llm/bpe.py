@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -196,24 +198,24 @@ class Encoder:
         self.vocabulary = vocabulary
         self.pattern = regex.compile(pattern)
         self.split = self.pattern.findall
-        self.known: dict[str, tuple[str, int, bytes]] = {}
-        self.older: dict[str, tuple[str, int, bytes]] = {}
+        self.known: dict[str, tuple[str, int, bytes, bytes]] = {}
+        self.older: dict[str, tuple[str, int, bytes, bytes]] = {}
 
-    def piece(self, piece: str) -> tuple[str, int, bytes]:
-        """The ids joined by commas, their number, and the bytes they decode to."""
+    def piece(self, piece: str) -> tuple[str, int, bytes, bytes]:
+        """The ids joined by commas, their number, the bytes they decode to, and the ids as 32-bit integers."""
         found = self.known.get(piece)
         if found is None:
             found = self.older.get(piece)
             if found is None:
                 ids = self.vocabulary.encode(piece.encode())
-                found = (",".join(map(str, ids)), len(ids), self.vocabulary.decode(ids))
+                found = (",".join(map(str, ids)), len(ids), self.vocabulary.decode(ids), array("i", ids).tobytes())
             if len(found[2]) <= REMEMBERED_BYTES:
                 if len(self.known) >= REMEMBERED:
                     self.known, self.older = {}, self.known
                 self.known[piece] = found
         return found
 
-    def pieces(self, text: str) -> list[tuple[str, int, bytes]]:
+    def pieces(self, text: str) -> list[tuple[str, int, bytes, bytes]]:
         known, piece = self.known.get, self.piece
         return [known(p) or piece(p) for p in self.split(text)]
 
@@ -304,9 +306,12 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, ids: bool = False
                 out[2].append(hashlib.sha256(joined.encode()).hexdigest())
                 out[3].append(hashlib.sha256(b"".join([x[2] for x in found])).hexdigest())
                 if ids:
-                    out[4].append([int(i) for i in joined.split(",")] if joined else [])
+                    out[4].append(b"".join([x[3] for x in found]))
             columns = [batch.column(0), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string()), pa.array(out[3], pa.string())]
-            yield pa.RecordBatch.from_arrays(columns + ([pa.array(out[4], pa.list_(pa.int32()))] if ids else []), [x.split()[0] for x in schema.split(", ")])
+            if ids:
+                flat = np.frombuffer(b"".join(out[4]), np.int32)
+                columns.append(pa.ListArray.from_arrays(np.cumsum([0, *out[1]]).astype(np.int32), pa.array(flat)))
+            yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in schema.split(", ")])
 
     return docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(run, schema)
 

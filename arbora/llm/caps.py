@@ -71,19 +71,15 @@ class Code:
             for a, b in zip(*parts):
                 height = self.height
                 while True:
+                    # Whoever is in a sum of height or more is in these lists, as the other block gives its maximum at most.
                     i, j = np.flatnonzero(a >= height - b.max()), np.flatnonzero(b >= height - a.max())
                     sums = a[i][:, None] + b[j][None, :]
                     x, y = np.nonzero(sums >= height)
                     if len(x) >= LEAST_FILTERS:
                         break
-                    if sums.size >= LEAST_FILTERS * 8 or sums.size == self.words**2:
-                        # All sums above the lowest that the two lists cover are here; the wanted best ones mostly are among them.
-                        best = -np.partition(-sums.ravel(), LEAST_FILTERS - 1)[LEAST_FILTERS - 1]
-                        if best >= max(a[i].min() + b.max(), b[j].min() + a.max()) - 1e-6 or sums.size == self.words**2:
-                            height = float(best)
-                            x, y = np.nonzero(sums >= height)
-                            break
                     height -= 0.05
+                if height < self.height:
+                    x, y = np.nonzero(sums >= -np.partition(-sums.ravel(), LEAST_FILTERS - 1)[LEAST_FILTERS - 1])
                 out.append(np.sort(i[x].astype(np.int64) * self.words + j[y]))
         return out
 

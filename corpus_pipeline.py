@@ -1 +1,66 @@
+"""A training corpus from documents: filtered, deduplicated, mixed and encoded, stage by stage."""
 
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from arbora.llm import bpe, lines, mixing, simhash, toxicity
+from arbora.llm.common import shared_dir, table
+
+
+def _as(docs: DataFrame, out: DataFrame) -> DataFrame:
+    """out with the columns of docs, in their order."""
+    return out.select(*(F.col(f"`{c}`") for c in docs.columns))
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the model calls toxic go. It learns from the labels of these documents that aren't held out."""
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return _as(docs, toxicity.scored(docs, model).filter("predicted = 0"))
+
+
+def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that several documents share stay in one only; n_chars follows the text where lines went."""
+    out = lines.dedup_lines(docs)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
+    return _as(docs, out)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the document with the smallest doc_id stays."""
+    return _as(docs, simhash.keep_one(docs))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as their source's target asks, from no times to three."""
+    return mixing.mix(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The ids of each row's text, their number and digest, and the digest of what they decode to."""
+    return bpe.encode_documents(docs, *bpe.standard(), ids=True)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("line_dedup", drop_shared_lines),
+    ("simhash", drop_near_copies),
+    ("mixing", mix_sources),
+    ("bpe", encode),
+]
+
+#: Scores, fingerprints, chance and token ranks have no SQL; the stages are tested against plain versions.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; what each one but the last returns is written as Parquet in the shared folder, and read by the next."""
+    docs, folder = table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
+        docs = spark.read.parquet(f"{folder}/{k}")
+    return STAGES[-1][1](spark, docs, sf_dir)
