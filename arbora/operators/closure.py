@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .trees import cut
+from ..storage import cut
 
 #: Levels and paths for each target that usable paths keep.
 LEVELS, PATHS = 16, 16

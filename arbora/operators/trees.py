@@ -5,18 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def cut(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in spark.checkpoint.dir, so that loops don't grow plans and lost executors cost little."""
-    import tempfile
-
-    context = df.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder and not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="arbora-"))
-    return df.checkpoint(eager=True)
+from ..storage import cut
 
 
 def ancestors(nodes: DataFrame, node: str = "node", parent: str = "parent") -> DataFrame:
