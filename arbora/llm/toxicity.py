@@ -19,7 +19,7 @@ from .common import free_name, table
 #: Labelled rows that the model is fitted on at most: those whose doc_ids have the smallest hashes. Everything else sees all rows.
 SAMPLE = 12_000
 BITS, PREFIXES = 18, (4, 5)
-EPOCHS, BATCH, RATE, DECAY = 10, 256, 0.08, 5e-5
+STEPS, BATCH, RATE, DECAY = 470, 256, 0.08, 5e-5
 #: Sample documents that a feature must be in to have a weight.
 LEAST_DOCS = 3
 #: Words whose weights a worker remembers.
@@ -54,9 +54,10 @@ class Model:
         chance = np.random.default_rng(5)
         w = np.append(self.weights, self.bias)
         first, second, step = np.zeros_like(w), np.zeros_like(w), 0
-        for epoch in range(EPOCHS):
+        epochs = max(1, STEPS // -(-len(docs) // BATCH))
+        for epoch in range(epochs):
             order = chance.permutation(len(docs))
-            rate = RATE * (1 - epoch / EPOCHS) + RATE / 10
+            rate = RATE * (1 - epoch / epochs) + RATE / 10
             for at in range(0, len(order), BATCH):
                 picked = order[at : at + BATCH]
                 own = [s for i in picked for s in sentences[i]]
