@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -41,37 +42,38 @@ class Model:
     weights: np.ndarray
     bias: float
 
-    def fit(self, docs: list[list[np.ndarray]], labels: np.ndarray) -> Model:
-        """docs: for each, the features of each sentence; labels: of the documents, 0 or 1. No sentence has a label."""
+    def fit(self, flat: np.ndarray, lengths: np.ndarray, sentences: np.ndarray, labels: np.ndarray) -> Model:
+        """flat: the features of all sentences; lengths: their number in each sentence; sentences: how many each document has; labels:
+        of the documents, 0 or 1. No sentence has a label."""
         if not len(labels) or labels.min() == labels.max():
             return self
+        first_sentence = np.concatenate([[0], np.cumsum(sentences)])
+        place = np.concatenate([[0], np.cumsum(lengths)])[first_sentence]
         seen = np.zeros(len(self.weights), np.int64)
-        for d in docs:
-            if d:
-                seen[np.unique(np.concatenate(d))] += 1
+        for a, b in itertools.pairwise(place.tolist()):
+            seen[np.unique(flat[a:b])] += 1
         usable = seen >= LEAST_DOCS
-        sentences = [[s[usable[s]] for s in d] for d in docs]
         chance = np.random.default_rng(5)
         w = np.append(self.weights, self.bias)
         first, second, step = np.zeros_like(w), np.zeros_like(w), 0
-        epochs = max(1, STEPS // -(-len(docs) // BATCH))
+        epochs = max(1, STEPS // -(-len(labels) // BATCH))
         for epoch in range(epochs):
-            order = chance.permutation(len(docs))
+            order = chance.permutation(len(labels))
             rate = RATE * (1 - epoch / epochs) + RATE / 10
             for at in range(0, len(order), BATCH):
                 picked = order[at : at + BATCH]
-                own = [s for i in picked for s in sentences[i]]
-                if not own:
+                own = np.concatenate([lengths[first_sentence[i] : first_sentence[i + 1]] for i in picked])
+                if not len(own):
                     continue
-                doc = np.repeat(np.arange(len(picked)), [len(sentences[i]) for i in picked])
-                lengths = np.fromiter(map(len, own), np.int64, len(own))
-                of, flat = np.repeat(np.arange(len(own)), lengths), np.concatenate(own).astype(np.int64)
-                z = w[-1] + np.bincount(of, w[flat], len(own))
+                doc = np.repeat(np.arange(len(picked)), sentences[picked])
+                values = np.concatenate([flat[place[i] : place[i + 1]] for i in picked])
+                of, known = np.repeat(np.arange(len(own)), own), usable[values]
+                of, values = of[known], values[known]
+                z = w[-1] + np.bincount(of, w[values], len(own))
                 total = np.bincount(doc, np.logaddexp(0, z), len(picked))
-                y = labels[picked]
-                pull = np.where(y == 1, -1 / np.expm1(np.clip(total, 1e-6, 500)), 1.0)
+                pull = np.where(labels[picked] == 1, -1 / np.expm1(np.clip(total, 1e-6, 500)), 1.0)
                 by_sentence = pull[doc] / (1 + np.exp(-z))
-                slope = np.bincount(flat, by_sentence[of], len(w))
+                slope = np.bincount(values, by_sentence[of], len(w))
                 slope[-1] = by_sentence.sum()
                 slope /= len(picked)
                 slope[:-1] += DECAY * w[:-1]
@@ -111,9 +113,17 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
             lengths = [np.array([len(s) for s in d], np.int32).tobytes() for d in each]
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("toxic").cast(pa.int32()), pa.array(lengths, pa.binary()), pa.array(flat, pa.binary())], ["id", "toxic", "lengths", "flat"])
 
-    got = rows.mapInArrow(extract, "id long, toxic int, lengths binary, flat binary").toPandas().sort_values("id")
-    sentences = [np.split(np.frombuffer(f, np.int32), np.cumsum(np.frombuffer(n, np.int32))[:-1]) if len(n) else [] for n, f in zip(got["lengths"], got["flat"])]
-    return Model(np.zeros(1 << BITS), -6.0).fit(sentences, got["toxic"].to_numpy())
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        read = sorted((row for batch in batches for row in zip(*(batch.column(c).to_pylist() for c in ("id", "toxic", "lengths", "flat")))), key=lambda r: r[0])
+        lengths, flat = (np.frombuffer(b"".join(r[k] for r in read), np.int32) for k in (2, 3))
+        sentences, toxic = np.array([len(r[2]) // 4 for r in read], np.int64), np.array([r[1] for r in read], np.int64)
+        del read
+        model = Model(np.zeros(1 << BITS), -6.0).fit(flat, lengths, sentences, toxic)
+        yield pa.RecordBatch.from_arrays([pa.array([model.weights.astype(np.float32).tobytes()], pa.binary()), pa.array([model.bias], pa.float64())], ["weights", "bias"])
+
+    # The sample is bounded, so one task can learn from it; the driver gets the weights only.
+    one = rows.mapInArrow(extract, "id long, toxic int, lengths binary, flat binary").repartition(1).mapInArrow(learn, "weights binary, bias double").first()
+    return Model(np.frombuffer(one["weights"], np.float32).astype(np.float64), one["bias"])
 
 
 def scored(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
