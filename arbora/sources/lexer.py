@@ -13,7 +13,7 @@ TOKEN = re.compile(
   | (?P<block>/\*)
   | (?P<raw>(?:b|c|br|cr)?r(?P<hash>\#*)")
   | (?P<string>[bc]?"(?:[^"\\]|\\.)*")
-  | (?P<char>b?'(?:[^'\\\n]|\\(?:x[0-9A-Fa-f]{2}|u\{[^}]*\}|.))')
+  | (?P<char>b?'(?:[^'\\\n\x80-\xff]|[\xc0-\xff][\x80-\xbf]*|\\(?:x[0-9A-Fa-f]{2}|u\{[^}]*\}|.))')
   | (?P<life>'(?:[A-Za-z_]|[^\x00-\x7f])(?:\w|[^\x00-\x7f])*)
   | (?P<number>\d(?:[\w]|\.(?=\d))*)
   | (?P<ident>(?:r\#)?(?:[A-Za-z_]|[^\x00-\x7f])(?:\w|[^\x00-\x7f])*)
