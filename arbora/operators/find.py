@@ -11,15 +11,17 @@ from ..functions.order import path_parts
 
 #: Kinds that are only found when asked for.
 OPT_IN = ("import", "field", "macro-call")
+#: Kinds that have no name a pattern could match.
+UNNAMED = ("use", "extern-block", "impl", "foreign-macro", "assoc-macro")
 PAGE = 100
 
 
 def wanted_kind(kind: Column, kinds: tuple[str, ...] = (), patterns: list[Path] = ()) -> Column:
-    """The given kinds; without any, all but OPT_IN, and of those what a pattern names (`use a`, `a.b`, `m!`)."""
+    """The given kinds; without any, all but OPT_IN, and of those what a pattern names (`use a`, `a.b`, `m!`); patterns find nothing UNNAMED."""
     if kinds:
         return kind.isin(*kinds)
     asked = {p.only for p in patterns if p.only}
-    hidden = [k for k in OPT_IN if k not in asked]
+    hidden = [k for k in OPT_IN if k not in asked] + list(UNNAMED if patterns else ())
     return ~kind.isin(*hidden) if hidden else F.lit(True)
 
 

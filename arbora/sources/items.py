@@ -35,6 +35,7 @@ class Item:
     test: bool = False
     path: str | None = None
     inline: bool = True
+    mutable: bool = False
     segments: list[str] = field(default_factory=list)
     alias: str | None = None
     glob: bool = False
@@ -228,7 +229,8 @@ class Parser:
             return self.finish(item, self.until(stop, end, ";"))
         if word in ("const", "static", "type") and named:
             item.kind = kinds.get(word, word)
-            self.add(item, self.tokens[i + 2] if named.text == "mut" else named)
+            item.mutable = named.text == "mut"
+            self.add(item, self.tokens[i + 2] if item.mutable else named)
             return self.finish(item, self.until(i + 2, end, ";"))
         if word == "use":
             item.kind = "use"

@@ -17,7 +17,7 @@ from .resolve import Crate
 
 SCHEMA = (
     "row string, crate_id int, item_idx int, parent_idx int, module_idx int, kind string, name string, file string, start long, end long, name_start long, name_end long, "
-    "vis string, cfg string, doc string, doc_hidden boolean, macro_export boolean, test boolean, segments array<string>, alias string, is_glob boolean, self_ty string, trait_text string, "
+    "vis string, inline boolean, mutable boolean, macro_use boolean, cfg string, doc string, doc_hidden boolean, macro_export boolean, test boolean, segments array<string>, alias string, is_glob boolean, self_ty string, trait_text string, "
     "self_idx int, path string, flat_path string, receiver string, space string, target_idx int, external string, scope_idx int, message string"
 )
 COLUMNS = [c.split()[0] for c in SCHEMA.split(", ")]
@@ -86,7 +86,7 @@ def _rows(crate_id: int, name: str, root: str, edition: int, dependencies: list[
         flat, shown = crate.paths(i)
         yield {
             "row": "item", "crate_id": crate_id, "item_idx": i, "parent_idx": x.parent, "module_idx": crate.module[i], "kind": x.kind, "name": name if i == 0 else x.name, "file": file, "start": x.start, "end": x.end,
-            "name_start": x.name_start, "name_end": x.name_end, "vis": x.vis, "cfg": (x.cfg[0] if len(x.cfg) == 1 else f"all({', '.join(x.cfg)})") if x.cfg else None, "doc": x.doc, "doc_hidden": x.doc_hidden, "macro_export": x.macro_export,
+            "name_start": x.name_start, "name_end": x.name_end, "vis": x.vis, "inline": x.inline, "mutable": x.mutable, "macro_use": x.macro_use, "cfg": (x.cfg[0] if len(x.cfg) == 1 else f"all({', '.join(x.cfg)})") if x.cfg else None, "doc": x.doc, "doc_hidden": x.doc_hidden, "macro_export": x.macro_export,
             "test": x.test, "segments": x.segments, "alias": x.alias, "is_glob": x.glob, "self_ty": x.self_ty, "trait_text": x.trait_text, "self_idx": crate.self_type.get(i), "path": shown, "flat_path": SEP.join(flat), "receiver": x.receiver,
             "scope_idx": crate.scope(i),
         }
@@ -111,9 +111,8 @@ def workspace(files: DataFrame, crates: DataFrame) -> dict[str, DataFrame]:
         texts = {p: t.encode() for p, t in zip(own["path"], own["text"])}
         rows = [r for c in crate.to_dict("records") for r in _rows(int(c["crate_id"]), c["name"], c["root"], int(c["edition"]), list(c["dependencies"]), texts)]
         frame = pd.DataFrame(rows, columns=COLUMNS)
-        for c in ("item_idx", "parent_idx", "module_idx", "self_idx", "target_idx", "scope_idx", "start", "end", "name_start", "name_end"):
-            frame[c] = frame[c].astype("Int64")
-        return frame
+        numbers = ("item_idx", "parent_idx", "module_idx", "self_idx", "target_idx", "scope_idx", "start", "end", "name_start", "name_end")
+        return frame.assign(**{c: frame[c].astype("Int64") if c in numbers else frame[c].astype(object).where(frame[c].notna(), None) for c in COLUMNS})
 
     found = cut(crates.groupBy("crate_id").cogroup(files.groupBy("crate_id")).applyInPandas(run, SCHEMA))
     part = lambda row, *columns: found.filter(F.col("row") == row).select("crate_id", *columns)

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from arbora.functions.globs import Path
-from arbora.operators import edits, find
+from arbora.operators import edits, find, sorting
 from arbora.sources import rust
 from arbora.sources.items import parse
 from arbora.sources.lexer import SyntaxProblem, matched, tokens
@@ -85,7 +85,7 @@ def test_find(tables):
     def found(pattern, **more):
         return sorted(r["path"] for r in find.find(tables["items"], [Path.parse(pattern)], **more).collect())
 
-    assert found("geometry::**") == sorted(["demo::geometry::Disc", "demo::geometry::Pair", "demo::geometry::Sort", "demo::geometry::Sort::Round", "demo::geometry::Sort::Flat", "demo::geometry::Sort::Both", "demo::geometry::Figure", "demo::geometry::Figure::N", "demo::geometry::Figure::area", "demo::geometry::Disc::new", "<demo::geometry::Disc as Figure>::N", "<demo::geometry::Disc as Figure>::area", "<demo::geometry::Pair as From<T>>::from", "demo::geometry::Disc", "demo::geometry::Pair", "<demo::geometry::Disc as Figure>", "<demo::geometry::Pair as From<T>>"])
+    assert found("geometry::**") == sorted(["demo::geometry::Disc", "demo::geometry::Pair", "demo::geometry::Sort", "demo::geometry::Sort::Round", "demo::geometry::Sort::Flat", "demo::geometry::Sort::Both", "demo::geometry::Figure", "demo::geometry::Figure::N", "demo::geometry::Figure::area", "demo::geometry::Disc::new", "<demo::geometry::Disc as Figure>::N", "<demo::geometry::Disc as Figure>::area", "<demo::geometry::Pair as From<T>>::from"])
     assert found("match") == ["demo::inner::match"] and found("inner::*::bottom") == ["demo::inner::deep::bottom"]
     assert found("Disc.radius") == ["demo::geometry::Disc.radius"] and found("use Disc") == ["use demo::Disc"]
     assert found("system") == ["demo::system"] * 2 and found("abs") == ["demo::inner::abs"] and found("CELL") == ["demo::CELL"]
@@ -148,3 +148,32 @@ def test_files_come_part_by_part(tables):
     ordered = [r["file"] for r in tables["items"].orderBy(*find.find_order()).select("file").distinct().collect()]
     assert set(ordered) == {"src/lib.rs", "src/geometry.rs", "src/inner.rs"}
     assert tables["items"].filter(F.col("cfg") == "unix").count() == 1
+
+
+def test_order_plan(spark):
+    text = """fn zeta() {}
+mod tests {}
+pub use a::B;
+use b::C;
+impl Show for Delta {}
+struct Delta;
+impl Delta { fn get(&self) {} fn new() {} const N: u8 = 1; fn _new() {} fn make() {} type T = u8; }
+static mut S: u8 = 1;
+const x16: u8 = 1; const x8: u8 = 1; const _x8: u8 = 2;
+mod file;
+macro_rules! m { () => {}; }
+fn b() {}
+enum A { Z, Y }
+fn a() {}
+impl Delta {}
+"""
+    files = spark.createDataFrame([(0, "lib.rs", text)], "crate_id int, path string, text string")
+    crates = spark.createDataFrame([(0, "c", "lib.rs", 2021, [])], "crate_id int, name string, root string, edition int, dependencies array<string>")
+    items = rust.workspace(files, crates)["items"]
+    plan = sorting.order_plan(items).join(items, ["crate_id", "parent_idx", "item_idx"]).orderBy("parent_idx", "position").collect()
+    top = [(r["kind"], r["name"] or r["trait_text"]) for r in plan if r["parent_idx"] == 0]
+    assert top == [("mod", "file"), ("use", None), ("use", None), ("const", "x8"), ("const", "_x8"), ("const", "x16"), ("static", "S"), ("struct", "Delta"), ("impl", None), ("impl", "Show"), ("fn", "zeta"), ("mod", "tests"), ("macro-rules", "m"), ("enum", "A"), ("impl", None), ("fn", "a"), ("fn", "b")]
+    inner = [r["name"] for r in plan if r["kind"].startswith("assoc-")]
+    assert inner == ["T", "N", "new", "_new", "make", "get"]
+    shuffled = sorting.order_plan(items.orderBy(F.rand(3))).collect()
+    assert sorted(map(str, shuffled)) == sorted(map(str, sorting.order_plan(items).collect()))
