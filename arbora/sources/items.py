@@ -37,6 +37,7 @@ class Item:
     inline: bool = True
     mutable: bool = False
     segments: list[str] = field(default_factory=list)
+    places: list[tuple[int, int]] = field(default_factory=list)
     alias: str | None = None
     glob: bool = False
     leading_colon: bool = False
@@ -237,7 +238,7 @@ class Parser:
             own = self.add(item)
             stop = self.until(i + 1, end, ";")
             lead = self.at(i + 1) == "::"
-            self.use_tree(i + 1 + lead, stop, own, [], lead, item)
+            self.use_tree(i + 1 + lead, stop, own, [], [], lead, item)
             return self.finish(item, stop)
         if word == "extern" and named and named.text == "crate":
             item.kind = "extern-crate"
@@ -357,9 +358,9 @@ class Parser:
             i += 1
         return out if i >= end else []
 
-    def use_tree(self, i: int, end: int, parent: int, prefix: list[str], lead: bool, use: Item, begin: int | None = None) -> None:
+    def use_tree(self, i: int, end: int, parent: int, prefix: list[str], where: list[tuple[int, int]], lead: bool, use: Item, begin: int | None = None) -> None:
         begin = i if begin is None else begin
-        names = list(prefix)
+        names, places = list(prefix), list(where)
         while i < end:
             t = self.tokens[i]
             if t.text == "{":
@@ -367,10 +368,10 @@ class Parser:
                 while k < close:
                     stop = self.until(k, close, ",")
                     own_lead = not names and self.at(k) == "::"
-                    self.use_tree(k + own_lead, stop, parent, names, lead or own_lead, use, k)
+                    self.use_tree(k + own_lead, stop, parent, names, places, lead or own_lead, use, k)
                     k = stop + 1
                 return
-            leaf = Item("import", None, parent, self.tokens[begin].start, self.tokens[end - 1].end, vis=use.vis, cfg=[], segments=names, leading_colon=lead)
+            leaf = Item("import", None, parent, self.tokens[begin].start, self.tokens[end - 1].end, vis=use.vis, cfg=[], segments=names, places=places, leading_colon=lead)
             if t.text == "*":
                 leaf.glob = True
                 self.add(leaf)
@@ -378,10 +379,12 @@ class Parser:
             after = self.at(i + 1) if i + 1 < end else ""
             if after == "::":
                 names.append(unraw(t.text))
+                places.append((t.start, t.end))
                 i += 2
                 continue
             selfish = t.text == "self" and bool(names)
             leaf.segments = names if selfish else [*names, unraw(t.text)]
+            leaf.places = places if selfish else [*places, (t.start, t.end)]
             bound = t
             if after == "as":
                 leaf.alias = unraw(self.at(i + 2))

@@ -10,15 +10,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.globs import SEP
+from ..operators.rows import best
 from ..storage import cut
 from .items import Item, parse
 from .lexer import SyntaxProblem
+from .references import references
 from .resolve import Crate
 
 SCHEMA = (
     "row string, crate_id int, item_idx int, parent_idx int, module_idx int, kind string, name string, file string, start long, end long, name_start long, name_end long, "
     "vis string, inline boolean, mutable boolean, macro_use boolean, cfg string, doc string, doc_hidden boolean, macro_export boolean, test boolean, segments array<string>, alias string, is_glob boolean, self_ty string, trait_text string, "
-    "self_idx int, path string, flat_path string, receiver string, space string, target_idx int, external string, scope_idx int, message string"
+    "self_idx int, path string, flat_path string, receiver string, space string, target_idx int, external string, scope_idx int, message string, line int, column int, certain boolean"
 )
 COLUMNS = [c.split()[0] for c in SCHEMA.split(", ")]
 
@@ -96,12 +98,14 @@ def _rows(crate_id: int, name: str, root: str, edition: int, dependencies: list[
         for (bound, space), found in names.items():
             for b in found:
                 yield {"row": "binding", "crate_id": crate_id, "module_idx": module, "name": bound, "space": space, "target_idx": b.res.item, "external": "::".join(b.res.external) or None, "scope_idx": b.scope, "is_glob": b.glob, "item_idx": b.source}
+    for r in references(crate, dict(enumerate(file for _, file in loaded)), files):
+        yield {"row": "reference", "crate_id": crate_id, "target_idx": r.item, "file": r.file, "start": r.start, "end": r.end, "line": r.line, "column": r.column, "kind": r.kind, "certain": r.certain, "item_idx": r.inside, "name": r.written}
     for file, message in notes:
         yield {"row": "diagnostic", "crate_id": crate_id, "file": file, "message": message}
 
 
 def workspace(files: DataFrame, crates: DataFrame) -> dict[str, DataFrame]:
-    """items, targets (of imports), bindings and diagnostics of crates (crate_id, name, root, edition, dependencies).
+    """items, targets (of imports), bindings, references and diagnostics of crates (crate_id, name, root, edition, dependencies).
 
     files (crate_id, path, text) are read by Spark from wherever it can read, and meet crate by crate in a task each: which files a crate
     has shows only while it is walked. Crates are independent of each other, and one has at most some thousand files.
@@ -111,16 +115,17 @@ def workspace(files: DataFrame, crates: DataFrame) -> dict[str, DataFrame]:
         texts = {p: t.encode() for p, t in zip(own["path"], own["text"])}
         rows = [r for c in crate.to_dict("records") for r in _rows(int(c["crate_id"]), c["name"], c["root"], int(c["edition"]), list(c["dependencies"]), texts)]
         frame = pd.DataFrame(rows, columns=COLUMNS)
-        numbers = ("item_idx", "parent_idx", "module_idx", "self_idx", "target_idx", "scope_idx", "start", "end", "name_start", "name_end")
+        numbers = ("item_idx", "parent_idx", "module_idx", "self_idx", "target_idx", "scope_idx", "start", "end", "name_start", "name_end", "line", "column")
         return frame.assign(**{c: frame[c].astype("Int64") if c in numbers else frame[c].astype(object).where(frame[c].notna(), None) for c in COLUMNS})
 
     found = cut(crates.groupBy("crate_id").cogroup(files.groupBy("crate_id")).applyInPandas(run, SCHEMA))
     part = lambda row, *columns: found.filter(F.col("row") == row).select("crate_id", *columns)
-    items = part("item", *(c for c in COLUMNS[2:] if c not in ("space", "target_idx", "external", "message")))
+    items = part("item", *(c for c in COLUMNS[2:] if c not in ("space", "target_idx", "external", "message", "line", "column", "certain")))
     return {
         "items": items,
         "targets": part("target", "item_idx", "space", "target_idx", "external"),
         "bindings": part("binding", "module_idx", "name", "space", "target_idx", "external", "scope_idx", "is_glob", F.col("item_idx").alias("import_idx")),
+        "references": part("reference", "target_idx", "file", "start", "end", "line", "column", "kind", "certain", F.col("item_idx").alias("inside_idx"), F.col("name").alias("written")),
         "diagnostics": part("diagnostic", "file", "message"),
     }
 
@@ -136,3 +141,28 @@ def named(tables: dict[str, DataFrame], path: list[str]) -> DataFrame:
     owners = items.filter((F.col("kind") == "mod") & F.col("flat_path").endswith(SEP.join(path[:-1]))) if path[:-1] else items.filter("item_idx = 0")
     hit = owners.select("crate_id", F.col("item_idx").alias("module_idx")).join(bindings.filter(F.col("name") == path[-1]), ["crate_id", "module_idx"])
     return items.join(hit.select("crate_id", F.col("target_idx").alias("item_idx")).distinct(), ["crate_id", "item_idx"], "left_semi")
+
+
+def find_references(tables: dict[str, DataFrame], items: DataFrame, definitions: bool = False) -> DataFrame:
+    """References to items (crate_id, item_idx), with the path of the item each is in; of several at one place the certain one."""
+    wanted = items.select("crate_id", F.col("item_idx").alias("target_idx")).distinct()
+    hits = tables["references"].join(wanted, ["crate_id", "target_idx"], "left_semi")
+    if not definitions:
+        hits = hits.filter("kind <> 'definition'")
+    inside = tables["items"].select("crate_id", F.col("item_idx").alias("inside_idx"), F.col("path").alias("inside"))
+    return best(hits, ["crate_id", "file", "start", "end"], [F.col("certain").desc(), F.col("kind"), F.col("target_idx")]).join(inside, ["crate_id", "inside_idx"], "left")
+
+
+def rename_plan(tables: dict[str, DataFrame], items: DataFrame, name: str, certain_only: bool = True) -> DataFrame:
+    """Edits (path, start, end, replacement, seq) that give items another name, where they are defined and named by their own names."""
+    old = items.select("crate_id", F.col("item_idx").alias("target_idx"), F.col("name").alias("written")).distinct()
+    hits = find_references(tables, items, definitions=True).join(old, ["crate_id", "target_idx", "written"], "left_semi")
+    hits = hits.filter("certain") if certain_only else hits
+    return hits.select(F.col("file").alias("path"), "start", "end", F.lit(name).alias("replacement"), F.lit(0).cast("long").alias("seq"))
+
+
+def collisions(tables: dict[str, DataFrame], items: DataFrame, name: str) -> DataFrame:
+    """Bindings that stand in the way of a new name: of that name, in a module and a space where an item is bound."""
+    bindings = tables["bindings"]
+    own = bindings.join(items.select("crate_id", F.col("item_idx").alias("target_idx")), ["crate_id", "target_idx"], "left_semi").select("crate_id", "module_idx", "space").distinct()
+    return bindings.filter(F.col("name") == name).join(own, ["crate_id", "module_idx", "space"], "left_semi")

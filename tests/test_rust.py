@@ -177,3 +177,26 @@ impl Delta {}
     assert inner == ["T", "N", "new", "_new", "make", "get"]
     shuffled = sorting.order_plan(items.orderBy(F.rand(3))).collect()
     assert sorted(map(str, shuffled)) == sorted(map(str, sorting.order_plan(items).collect()))
+
+
+def test_references_and_rename(spark):
+    files = {
+        "lib.rs": "mod shapes;\nuse shapes::{Disc, make as build};\nfn main() { let d = Disc::new(1); build(); shapes::make(); d.area(); let make = 1; show(make); log!(Disc); }\nfn show(x: u8) {}\n",
+        "shapes.rs": "pub struct Disc;\nimpl Disc { pub fn new(n: u8) -> Disc { Disc } pub fn area(&self) {} }\npub fn make() -> Disc { Disc::new(2) }\n",
+    }
+    rows = spark.createDataFrame([(0, p, t) for p, t in files.items()], "crate_id int, path string, text string")
+    crates = spark.createDataFrame([(0, "c", "lib.rs", 2021, [])], "crate_id int, name string, root string, edition int, dependencies array<string>")
+    tables = rust.workspace(rows, crates)
+    pick = lambda p: tables["items"].filter(F.col("path") == p)
+    at = lambda p: sorted((r["file"], r["line"], r["column"], r["kind"], r["certain"]) for r in rust.find_references(tables, pick(p)).collect())
+    assert at("c::shapes::make") == [("lib.rs", 2, 20, "import", True), ("lib.rs", 3, 35, "path", True), ("lib.rs", 3, 52, "path", True)]
+    assert [x[3:] for x in at("c::shapes::Disc::area")] == [("member", False)]
+    disc = at("c::shapes::Disc")
+    assert ("lib.rs", 3, 101, "path", False) in disc and len(disc) == 8
+    plan = rust.rename_plan(tables, pick("c::shapes::Disc"), "Circle")
+    new = {r["path"]: r["edited"] for r in edits.apply(rows.select("path", "text"), plan).collect()}
+    assert new["shapes.rs"] == files["shapes.rs"].replace("Disc", "Circle")
+    assert new["lib.rs"] == files["lib.rs"].replace("Disc", "Circle").replace("log!(Circle)", "log!(Disc)")
+    made = {r["path"]: r["edited"] for r in edits.apply(rows.select("path", "text"), rust.rename_plan(tables, pick("c::shapes::make"), "form")).collect()}
+    assert "{Disc, form as build}" in made["lib.rs"] and "build(); shapes::form(); d.area(); let make = 1; show(make)" in made["lib.rs"]
+    assert rust.collisions(tables, pick("c::shapes::Disc"), "new").count() == 0 and rust.collisions(tables, pick("c::shapes::make"), "Disc").count() > 0
