@@ -40,7 +40,7 @@ def find_order() -> list[Column]:
 def page(df: DataFrame, order: list[Column], limit: int = PAGE, offset: int = 0) -> DataFrame:
     """A page with rank from offset + 1 on; only the rows up to its end are ever brought together, by a top-k of each task."""
     top = df.orderBy(*order).limit(offset + limit)
-    ranked = top.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+    ranked = top.withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("long"))
     return ranked.filter(F.col("rank") > offset) if offset else ranked
 
 
