@@ -184,10 +184,12 @@ def test_fingerprints_against_all_pairs(spark):
     got = {r["doc_id"]: r["component_id"] for r in simhash.group_fingerprints(rows).collect()}
     links = [(i, j) for i in range(len(prints)) for j in range(i) if bin(prints[i] ^ prints[j]).count("1") <= 4]
     assert got == union_find(range(len(prints)), links)
-    distinct = rows.select("fp").distinct()
+    values = sorted(set(signed))
+    near = [(a, b) for a in values for b in values if a < b and bin((a ^ b) & (1 << 64) - 1).count("1") <= 4]
+    want = collections.Counter(union_find(values, near).values())
     for piece in (3, 1000):
-        parts = graph.components(simhash.near_links(distinct, piece=piece))
-        assert parts.groupBy("component").count().count() == len(set(union_find(range(len(prints)), links).values()) - {i for i in range(len(prints)) if not any(i in x for x in links)}) or piece
+        parts = graph.components(simhash.near_links(rows.select("fp").distinct(), piece=piece))
+        assert {r["component"]: r["count"] for r in parts.groupBy("component").count().collect()} == {c: n for c, n in want.items() if n > 1}
 
 
 # ---- 4
