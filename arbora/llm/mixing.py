@@ -80,7 +80,7 @@ def _meet(acc: Column, unit: Column, seed: int) -> Column:
         _let(
             moved(acc["waits"], unit),
             lambda pair: F.struct(
-                F.filter(pair, lambda x: ~whole(x))[0].alias("waits"),
+                F.get(F.filter(pair, lambda x: ~whole(x)), F.lit(0)).alias("waits"),  # none if both are whole
                 F.concat(acc["done"], F.filter(pair, whole)).alias("done"),
             ),
         )
