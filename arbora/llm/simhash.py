@@ -168,10 +168,21 @@ def simhash_groups(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """The rows of docs whose doc_id is their group's component_id; rows that repeat it stay alike, and columns stay as they are."""
-    stays = simhash_groups(docs.select("doc_id", "text"), radius).filter("doc_id = component_id").select("doc_id").distinct()
+    """The rows of docs whose doc_id is their group's component_id; rows that repeat it stay alike, and columns stay as they are.
+
+    Of a group without any doc_id one row stays, one with the group's smallest fingerprint.
+    """
+    groups = cut(simhash_groups(docs.select("doc_id", "text"), radius))
+    stays = groups.filter("doc_id = component_id").select("doc_id").distinct()
     key = free_name(docs, "stays")
-    return docs.join(stays.withColumnRenamed("doc_id", key), F.col("doc_id") == F.col(key), "left_semi")
+    kept = docs.join(stays.withColumnRenamed("doc_id", key), F.col("doc_id") == F.col(key), "left_semi")
+    # Groups without an id have no name; their fingerprints are grouped once more, by themselves.
+    prints = cut(groups.filter("component_id IS NULL").select(F.conv("fingerprint", 16, -10).cast("long").alias("fp")).distinct())
+    parts = components(near_links(prints, radius)).withColumnRenamed("node", "fp")
+    least = prints.join(parts, "fp", "left").groupBy(F.coalesce("component", "fp")).agg(F.min("fp").alias(key)).select(key)
+    own = free_name(docs, "own")
+    alone = docs.filter("doc_id IS NULL").withColumn(own, fingerprints(F.col("text"))).dropDuplicates([own]).join(least, F.col(own) == F.col(key), "left_semi").drop(own)
+    return kept.unionByName(alone)
 
 
 def op3_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
