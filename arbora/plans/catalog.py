@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import cfg, globs, order, text
@@ -99,7 +99,7 @@ def find_count(spark, d):
 SELECT name, row_number() OVER (ORDER BY regexp_extract(name, '^[^0-9]*'), CAST(nullif(regexp_extract(name, '[0-9]+'), '') AS BIGINT), name) AS rank FROM names""")
 def version_order(spark, d):
     names = table(spark, d, "part").select(F.col("p_brand").alias("name")).distinct()
-    return find.page(names, order.version_key(F.col("name")), 1000).select("name", "rank")
+    return names.withColumn("rank", F.row_number().over(Window.orderBy(*order.version_key(F.col("name")))).cast("long"))
 
 
 @query("""WITH lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line_text, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line FROM documents)
