@@ -13,10 +13,12 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table
+from .common import table, tidy
 
-#: Pieces whose ids a worker remembers in each of two generations, the longest of them in bytes, and answers of adjoin() it remembers.
-REMEMBERED, REMEMBERED_BYTES, REMEMBERED_PAIRS = 200_000, 64, 400_000
+#: Pieces whose ids a task remembers in each of two generations, the longest of them in bytes, and answers of adjoin() it remembers.
+REMEMBERED, REMEMBERED_BYTES, REMEMBERED_PAIRS = 120_000, 64, 200_000
+#: Bytes of ids that are sent on together.
+OUTPUT_BYTES = 1 << 22
 #: Bytes of a piece up to which its table is filled from the end, only where it is needed; a longer one's is filled from the start.
 MOST_NESTED = 300
 #: What a match of the pattern may look at behind its own end, in characters ('ll is given up two characters after its start).
@@ -26,6 +28,7 @@ LOOKAHEAD = 3
 class Vocabulary:
     """Ranks of byte strings, with what decides whether two tokens may stand side by side.
 
+    tails: the usable tokens, and as -1 all else that one of them ends in.
     halves: the two tokens that the merges of a token's bytes join last (a single byte is its own halves). A token that the
     merges of its own bytes don't reach has none, and only stands for a piece that is that token as a whole.
     """
@@ -36,6 +39,7 @@ class Vocabulary:
         self.longest = max(map(len, ranks), default=1)
         self.halves: dict[int, tuple[int, int]] = {}
         self.usable: dict[bytes, int] = {}
+        self.tails: dict[bytes, int] = {}
         self.pairs: dict[int, bool] = {}
         self.span = max(ranks.values(), default=0) + 1
         if missing := [b for b in range(256) if bytes([b]) not in ranks]:
@@ -50,6 +54,7 @@ class Vocabulary:
             if len(found) == 2:
                 self.halves[rank], self.usable[token] = (found[0], found[1]), rank
             self.pairs.clear()  # a pair of before may have a token now
+        self.tails = {token[i:]: -1 for token in self.usable for i in range(1, len(token))} | self.usable
 
     def adjoin(self, left: int, right: int) -> bool:
         """Whether left and right stay two tokens where they meet, by undoing their merges from the last to the first.
@@ -124,11 +129,14 @@ class Vocabulary:
 
     def _last(self, piece: bytes, table: list[int | None], end: int) -> int:
         """The last token of the first end bytes, with the entries of table that it takes: what extend() does, from the end."""
-        usable, pairs = self.usable, self.pairs
-        for start in range(max(0, end - self.longest), end):
-            token = usable.get(piece[start:end])
-            if token is None:
-                continue
+        tails, pairs = self.tails, self.pairs
+        ends, start = [], end - 1
+        while start >= 0 and (token := tails.get(piece[start:end])) is not None:
+            if token >= 0:
+                ends.append((start, token))
+            start -= 1
+        while ends:
+            start, token = ends.pop()
             if start:
                 before = table[start - 1]
                 if before is None:
@@ -198,8 +206,13 @@ class Encoder:
         self.vocabulary = vocabulary
         self.pattern = regex.compile(pattern)
         self.split = self.pattern.findall
+        self.forget()
+
+    def forget(self) -> None:
+        """Lets go of what was remembered, as at the end of a task."""
         self.known: dict[str, tuple[str, int, bytes, bytes]] = {}
         self.older: dict[str, tuple[str, int, bytes, bytes]] = {}
+        self.vocabulary.pairs.clear()
 
     def piece(self, piece: str) -> tuple[str, int, bytes, bytes]:
         """The ids joined by commas, their number, the bytes they decode to, and the ids as 32-bit integers."""
@@ -295,23 +308,34 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, ids: bool = False
     """
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if ids else "")
 
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def rows(batch: pa.RecordBatch, at: int, out: list[list]) -> pa.RecordBatch:
+        columns = [batch.column(0).slice(at, len(out[0])), pa.array(out[0], pa.int64()), pa.array(out[1], pa.string()), pa.array(out[2], pa.string())]
+        if ids:
+            flat = np.frombuffer(b"".join(out[3]), np.int32)
+            columns.append(pa.ListArray.from_arrays(np.cumsum([0, *out[0]]).astype(np.int32), pa.array(flat)))
+        return pa.RecordBatch.from_arrays(columns, names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = encoder(path, pattern)
         for batch in batches:
-            out: list[list] = [[], [], [], [], []]
+            out: list[list] = [[], [], [], []]
+            at = held = 0
             for value in batch.column(1):
                 found = known.pieces(value.as_py() or "")
-                joined = ",".join([x[0] for x in found])
-                out[1].append(sum([x[1] for x in found]))
-                out[2].append(hashlib.sha256(joined.encode()).hexdigest())
-                out[3].append(hashlib.sha256(b"".join([x[2] for x in found])).hexdigest())
+                out[0].append(sum([x[1] for x in found]))
+                out[1].append(hashlib.sha256(",".join([x[0] for x in found]).encode()).hexdigest())
+                out[2].append(hashlib.sha256(b"".join([x[2] for x in found])).hexdigest())
                 if ids:
-                    out[4].append(b"".join([x[3] for x in found]))
-            columns = [batch.column(0), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string()), pa.array(out[3], pa.string())]
-            if ids:
-                flat = np.frombuffer(b"".join(out[4]), np.int32)
-                columns.append(pa.ListArray.from_arrays(np.cumsum([0, *out[1]]).astype(np.int32), pa.array(flat)))
-            yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in schema.split(", ")])
+                    out[3].append(b"".join([x[3] for x in found]))
+                    held += len(out[3][-1])
+                if held >= OUTPUT_BYTES:
+                    yield rows(batch, at, out)
+                    at, held, out = at + len(out[0]), 0, [[], [], [], []]
+            yield rows(batch, at, out)
+        known.forget()
+        tidy()
 
     return docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(run, schema)
 
@@ -324,4 +348,5 @@ def standard() -> tuple[str, str]:
 
 
 def op6_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """encode_documents() of all documents."""
     return encode_documents(table(spark, sf_dir, "documents"), *standard())

@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import cut, shared_dir
 
-__all__ = ["SPACE", "ascii_lower", "cut", "free_name", "shared_dir", "table", "uniform"]
+__all__ = ["BROADCAST_ROWS", "SPACE", "ascii_lower", "cut", "free_name", "shared_dir", "small", "spread_join", "table", "tidy", "uniform"]
 
 #: The white space of every word and line rule here: blank, tab, line feed, vertical tab, form feed, return.
 SPACE = r"\x20\x09-\x0D"
+#: Rows of a few numbers each that are broadcast at most, once they are counted.
+BROADCAST_ROWS = 500_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -34,3 +40,39 @@ def free_name(df: DataFrame, stem: str) -> str:
 def uniform(*columns):
     """A number in [0, 1) that depends on the columns alone."""
     return F.shiftrightunsigned(F.xxhash64(*columns), 11).cast("double") / F.lit(float(1 << 53))
+
+
+def small(rows: DataFrame) -> DataFrame:
+    """rows, a table of a few numbers each, to be broadcast if there are few enough of them, which is counted; else joined by shuffle."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+
+
+def spread_join(rows: DataFrame, named: DataFrame, keys: list[str], by: list[str], counts: DataFrame | None = None, how: str = "inner") -> DataFrame:
+    """rows joined with named, which has one row for each of its keys, so that no key brings over a partition's fair share of rows to one task.
+
+    Keys with more are dealt to several tasks, by a hash of the columns `by` of rows, and their rows of named go to each of those. counts (keys, n) says how
+    many rows each key has, where the caller knows; it may leave out keys with few. At most as many keys as partitions are over the fair share, so
+    their table is broadcast, and named grows by as many rows at most.
+    """
+    partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts = cut(rows.groupBy(*keys).agg(F.count("*").alias("n"))) if counts is None else counts
+    sums = counts.agg(F.sum("n").alias("rows"), F.max("n").alias("most")).first()
+    share = max(1, (sums["rows"] or 0) // partitions)
+    if (sums["most"] or 0) <= share:
+        return rows.join(named, keys, how)
+    pieces, salt = free_name(rows, "pieces"), free_name(rows, "salt")
+    hot = F.broadcast(counts.filter(F.col("n") > share).select(*keys, F.least(F.lit(partitions), F.ceil(F.col("n") / share)).cast("int").alias(pieces)))
+    missing = F.concat(*(F.col(k).cast("string") for k in keys)).isNull()  # null meets nothing, wherever it goes
+    dealt = rows.join(hot, keys, "left").withColumn(salt, F.coalesce(F.pmod(F.xxhash64(*by), F.when(missing, F.lit(partitions)).otherwise(F.col(pieces))).cast("int"), F.lit(0))).drop(pieces)
+    copied = named.join(hot, keys, "left").withColumn(salt, F.explode(F.sequence(F.lit(0), F.coalesce(pieces, F.lit(1)) - 1))).drop(pieces)
+    return dealt.join(copied, [*keys, salt], how).drop(salt)
+
+
+def tidy() -> None:
+    """Gives back what a Python worker has freed: workers are used again, beside a JVM that needs the memory."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        return

@@ -24,7 +24,7 @@ STEPS, BATCH, RATE, DECAY = 470, 256, 0.08, 5e-5
 #: Sample documents that a feature must be in to have a weight.
 LEAST_DOCS = 3
 #: Words whose weights a worker remembers.
-REMEMBERED = 200_000
+REMEMBERED = 100_000
 SENTENCE, WORD = re.compile(r"[^.!?\n]+"), re.compile(r"\w+")
 
 

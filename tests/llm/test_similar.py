@@ -36,9 +36,10 @@ def texts():
     return out
 
 
-@pytest.mark.parametrize("few", [0, 1000])
-def test_groups_against_all_pairs(spark, texts, few, monkeypatch):
-    monkeypatch.setattr(similar, "FEW", few)
+@pytest.mark.parametrize("crowd, piece", [(1, 3), (1000, 1000)])
+def test_groups_against_all_pairs(spark, texts, crowd, piece, monkeypatch):
+    monkeypatch.setattr(similar, "CROWD", crowd)
+    monkeypatch.setattr(similar, "PIECE", piece)
     want = plain_groups(texts)
     assert 10 < len(set(want.values())) < len(texts) - 10
     docs = spark.createDataFrame([(i, t, "s", len(t or "")) for i, t in enumerate(texts)], "doc_id long, text string, source string, n_chars long")
