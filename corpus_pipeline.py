@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arbora.llm import bpe, lines, mixing, similar, toxicity
+from arbora.llm import bpe, lines, mixing, simhash, toxicity
 from arbora.llm.common import shared_dir, table
 
 
@@ -32,7 +32,7 @@ def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (five-word shingles, a Jaccard similarity of 0.8 or more) the document with the smallest doc_id stays."""
-    return _as(docs, similar.keep_one(docs))
+    return _as(docs, simhash.keep_similar(docs))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +45,6 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(docs, *bpe.standard(), ids=True)
 
 
-#: The third stage keeps its name in reports; it compares whole shingle sets, not fingerprints.
 STAGES = [
     ("toxicity", drop_toxic),
     ("line_dedup", drop_shared_lines),
