@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..storage import cut, shared_dir
 
-__all__ = ["BROADCAST_ROWS", "SPACE", "ascii_lower", "cut", "free_name", "shared_dir", "small", "spread_join", "table", "tidy", "uniform"]
+__all__ = ["BROADCAST_ROWS", "SPACE", "ascii_lower", "bound", "cut", "free_name", "shared_dir", "small", "spread_join", "table", "tidy", "uniform"]
 
 #: The white space of every word and line rule here: blank, tab, line feed, vertical tab, form feed, return.
 SPACE = r"\x20\x09-\x0D"
@@ -29,14 +29,19 @@ def ascii_lower(column):
     return F.when(F.octet_length(column) == F.char_length(column), F.lower(column)).otherwise(F.translate(column, UPPER, LOWER))
 
 
-def free_name(df: DataFrame, stem: str) -> str:
-    """A column name that df has not, whatever the case of its letters."""
-    taken = {c.lower() for c in df.columns}
+def free_name(df: DataFrame, stem: str, *others: DataFrame) -> str:
+    """A column name that neither df nor the others have, whatever the case of its letters."""
+    taken = {c.lower() for d in (df, *others) for c in d.columns}
     while stem.lower() in taken:
         stem += "_"
     return stem
 
 
+def bound(value, then):
+    """then(value), with value computed once."""
+    return F.transform(F.array(value), then)[0]
+
+
 def uniform(*columns):
     """A number in [0, 1) that depends on the columns alone."""
     return F.shiftrightunsigned(F.xxhash64(*columns), 11).cast("double") / F.lit(float(1 << 53))
@@ -60,7 +65,7 @@ def spread_join(rows: DataFrame, named: DataFrame, keys: list[str], by: list[str
     share = max(1, (sums["rows"] or 0) // partitions)
     if (sums["most"] or 0) <= share:
         return rows.join(named, keys, how)
-    pieces, salt = free_name(rows, "pieces"), free_name(rows, "salt")
+    pieces, salt = free_name(rows, "pieces", named), free_name(rows, "salt", named)
     hot = F.broadcast(counts.filter(F.col("n") > share).select(*keys, F.least(F.lit(partitions), F.ceil(F.col("n") / share)).cast("int").alias(pieces)))
     missing = F.concat(*(F.col(k).cast("string") for k in keys)).isNull()  # null meets nothing, wherever it goes
     dealt = rows.join(hot, keys, "left").withColumn(salt, F.coalesce(F.pmod(F.xxhash64(*by), F.when(missing, F.lit(partitions)).otherwise(F.col(pieces))).cast("int"), F.lit(0))).drop(pieces)

@@ -2,93 +2,71 @@
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterator
-
-import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import free_name, table
+from .common import ascii_lower, bound, cut, free_name, spread_join, table
 
 MIN_CHARS, MIN_DOCS = 20, 3
+BLANKS = " \t\n\x0b\x0c\r"
+
+
+def line_key(line: Column) -> Column:
+    """The line, stripped of white space at both ends, with A-Z lower-cased."""
+    return ascii_lower(F.btrim(line, F.lit(BLANKS)))
 
 
-def line_keys(text: str | None, min_chars: int) -> tuple[list[bytes], list[bytes | None]]:
-    """The lines of a text, and of each line the 16-byte hash of its key: stripped, A-Z lower-cased; None for a short key."""
-    lines = (text or "").encode().split(b"\n")
-    hashes: list[bytes | None] = []
-    for line in lines:
-        key = line.strip(b" \t\n\x0b\x0c\r").lower()
-        long = len(key) >= min_chars and (key.isascii() or len(key.decode()) >= min_chars)
-        hashes.append(xxhash.xxh3_128_digest(key) if long else None)
-    return lines, hashes
+def split_lines(text: Column) -> Column:
+    return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
-def shared_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, drops): for each document with lines to drop, the hashes of their keys.
+def keyed_lines(docs: DataFrame, min_chars: int, doc_id: str, text: str) -> DataFrame:
+    """(id, row, pos, a, b): each line with a key of min_chars code points or more, by its position, with 128 bits of its key's hash.
 
-    Each document sends each of its keys once, as a 16-byte hash; the documents of a hash are counted after a partial count
-    where they were read, so a line of a third of all documents is a few rows a task.
+    row tells apart the texts of rows that share a doc_id.
     """
+    lines = docs.filter(F.col(f"`{doc_id}`").isNotNull()).select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.xxhash64(f"`{text}`").alias("row"), F.posexplode(split_lines(F.col(f"`{text}`"))).alias("pos", "line"))
+    keyed = lines.select("id", "row", "pos", line_key(F.col("line")).alias("key")).filter(F.char_length("key") >= min_chars)
+    return keyed.select("id", "row", "pos", F.xxhash64("key").alias("a"), F.xxhash64(F.lit(1), "key").alias("b"))
 
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, keys = [], []
-            for i, t in zip(batch.column(0).to_pylist(), batch.column(1)):
-                own = set(line_keys(t.as_py(), min_chars)[1]) - {None}
-                ids += [i] * len(own)
-                keys += own
-                if len(keys) >= 50_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.binary())], ["id", "line"])
-                    ids, keys = [], []
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.binary())], ["id", "line"])
 
-    found = docs.filter(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long"), text).mapInArrow(hashed, "id long, line binary")
-    pairs = found.distinct()
-    often = pairs.groupBy("line").agg(F.count("*").alias("n"), F.max("id").alias("stays")).filter(F.col("n") >= min_docs).select("line", "stays")
-    return pairs.join(often, "line").filter("id <> stays").groupBy("id").agg(F.collect_set("line").alias("drops"))
+def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(id, row, drops): the positions of the lines that go, for each text that has some.
+
+    The documents of a hash are counted after a partial count where their lines were read, so a line of a third of all documents is a few rows a task;
+    where its lines meet the count, they are dealt to many tasks.
+    """
+    keyed = cut(keyed_lines(docs, min_chars, doc_id, text))
+    held = keyed.groupBy("a", "b", "id").agg(F.count("*").alias("n"))
+    often = cut(held.groupBy("a", "b").agg(F.count("*").alias("docs"), F.max("id").alias("stays"), F.sum("n").alias("n")).filter(F.col("docs") >= min_docs).drop("docs"))
+    gone = spread_join(keyed, often.drop("n"), ["a", "b"], ["id", "pos"], often.select("a", "b", "n")).filter("id <> stays")
+    return gone.groupBy("id", "row").agg(F.collect_set("pos").alias("drops"))
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, doc_id: str = "doc_id", text: str = "text", digest: bool = False) -> DataFrame:
     """docs with text less its dropped lines, and n_lines and n_dropped; with digest, kept_sha256 in place of the text.
 
     A line's key is the line, stripped of white space at both ends, with A-Z lower-cased. A key of at least min_chars code points
-    that at least min_docs documents hold loses all its lines, but for those of the largest doc_id that holds it. Null and empty
-    texts are one empty line, and stay null or empty. Rows that share a doc_id count as one document, each row losing the
+    that at least min_docs documents hold loses all its lines, but for those of the largest doc_id that holds it. What stays is put together by
+    position. Null and empty texts are one empty line, and stay null or empty. Rows that share a doc_id count as one document, each row losing the
     lines that the document loses; rows with a null doc_id are neither counted nor changed. An empty table gives an empty one.
-    Further columns stay; those named like a result's give way.
+    Further columns stay; those named like a result's give way. Keys are told apart by 128-bit hashes.
     """
-    drops = shared_lines(docs, min_chars, min_docs, doc_id, text)
-    own, key = free_name(docs, "drops"), free_name(docs, "drop_id")
+    own, key, row = (free_name(docs, c) for c in ("drops", "drop_id", "drop_row"))
     made = ["n_lines", "n_dropped", *(["kept_sha256"] if digest else [])]
     kept = [c for c in docs.columns if c.lower() not in made]
-    both = docs.select(*(F.col(f"`{c}`") for c in kept)).join(drops.select(F.col("id").alias(key), F.col("drops").alias(own)), F.col(f"`{doc_id}`") == F.col(key), "left")
-
-    @F.pandas_udf("text string, n_lines long, n_dropped long, kept_sha256 string")
-    def clean(texts, drops):
-        import pandas as pd
-
-        rows = []
-        for t, d in zip(texts, drops):
-            if d is None or not len(d):
-                raw = (t or "").encode() if digest else b""
-                rows.append((None if digest else t, (t or "").count("\n") + 1, 0, hashlib.sha256(raw).hexdigest() if digest else None))
-                continue
-            gone = set(map(bytes, d))
-            lines, hashes = line_keys(t, min_chars)
-            left = [x for x, h in zip(lines, hashes) if h not in gone]
-            raw = b"\n".join(left)
-            rows.append((None if digest else raw.decode(), len(lines), len(lines) - len(left), hashlib.sha256(raw).hexdigest() if digest else None))
-        return pd.DataFrame(rows, columns=["text", "n_lines", "n_dropped", "kept_sha256"])
-
-    done = both.withColumn(own, clean(F.col(f"`{text}`"), F.col(own)))
-    columns = [F.col(f"{own}.text").alias(c) if c == text else F.col(f"`{c}`") for c in kept if not (digest and c == text)]
-    return done.select(*columns, *(F.col(f"{own}.{c}").alias(c) for c in made))
+    drops = dropped_lines(docs, min_chars, min_docs, doc_id, text).select(F.col("id").alias(key), F.col("row").alias(row), F.col("drops").alias(own))
+    whole = F.col(f"`{text}`")
+    both = docs.select(*(F.col(f"`{c}`") for c in kept)).join(drops, (F.col(f"`{doc_id}`").cast("long") == F.col(key)) & (F.xxhash64(whole) == F.col(row)), "left")
+    left = bound(split_lines(whole), lambda x: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col(own)), lambda i: F.get(x, i)), "\n"))
+    done = F.when(F.col(own).isNull(), whole).otherwise(left)
+    counts = [F.size(split_lines(whole)).cast("long").alias("n_lines"), F.coalesce(F.size(own), F.lit(0)).cast("long").alias("n_dropped")]
+    columns = [done.alias(c) if c == text else F.col(f"`{c}`") for c in kept if not (digest and c == text)]
+    return both.select(*columns, *counts, *([F.sha2(F.coalesce(done, F.lit("")), 256).alias("kept_sha256")] if digest else []))
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """dedup_lines() of all documents."""
     return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), digest=True).select("doc_id", "n_lines", "n_dropped", "kept_sha256")
 
 

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, cut, free_name, table, uniform
+from .common import SPACE, bound, cut, free_name, table, uniform
 
 #: Words that a source or a document gives at most, as a multiple of what it has.
 MOST = 3
@@ -53,11 +53,6 @@ def targets(rows: DataFrame, weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
     return leveled.select("source", "source_size", "units", F.coalesce(F.least(most, F.col("weight") * F.col("level")), most).alias("target"))
 
 
-def _let(value: Column, then) -> Column:
-    """then(value), with value computed once."""
-    return F.transform(F.array(value), then)[0]
-
-
 def _meet(acc: Column, unit: Column, seed: int) -> Column:
     """The unit meets the one that waits: words move from one to the other, either way by chance, till one is whole."""
 
@@ -73,11 +68,11 @@ def _meet(acc: Column, unit: Column, seed: int) -> Column:
             snapped = lambda p: F.when(p < 1e-12, 0.0).when(p > 1 - 1e-12, 1.0).otherwise(p)
             return F.array(a.withField("p", snapped(p_a)), b.withField("p", snapped(p_b)))
 
-        return _let(F.struct(to_a.alias("to_a"), to_b.alias("to_b")), result)
+        return bound(F.struct(to_a.alias("to_a"), to_b.alias("to_b")), result)
 
     whole = lambda x: (x["p"] <= 0) | (x["p"] >= 1)
     return F.when(acc["waits"].isNull(), F.struct(unit.alias("waits"), acc["done"].alias("done"))).otherwise(
-        _let(
+        bound(
             moved(acc["waits"], unit),
             lambda pair: F.struct(
                 F.get(F.filter(pair, lambda x: ~whole(x)), F.lit(0)).alias("waits"),  # none if both are whole
