@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import BROADCAST_ROWS, cut, spread_join, table, tidy
 from .graph import components
 
 LEAST_COSINE = 0.95
@@ -22,6 +22,10 @@ FILTERS = 48
 LEAST_FILTERS = 32
 #: Filters of the whole code for each vector and filter of it: so many that unrelated vectors seldom share one.
 ROOM = 4
+#: The part of pairs at the least cosine that must share a filter: else the code is made coarser, down to so many directions.
+RECALL, LEAST_DIRECTIONS = 0.98, 256
+#: Code words of a block at most, and directions with the greatest sums that are looked at to set the height.
+MOST_WORDS, TRIED = 8192, 4096
 #: Vectors of a filter that are compared in one piece of work; more are split into pieces.
 PIECE = 1024
 #: Vectors up to which a filter's pairs are listed one by one instead of multiplied out.
@@ -34,59 +38,99 @@ class Code:
     """The directions are all ways to join one code word of each block, after a random rotation.
 
     A vector's product with a direction is the sum of its blocks' products with the code words. So all directions that it exceeds
-    are decoded from two short lists, and never looked at one by one.
+    are decoded from short lists, block by block, and never looked at one by one.
     """
 
-    def __init__(self, dim: int, words: int, filters: int = FILTERS, seed: int = 2):
-        chance = np.random.default_rng([seed, dim, words])
+    def __init__(self, dim: int, blocks: int, words: int, filters: int = FILTERS, seed: int = 2):
+        chance = np.random.default_rng([seed, dim, blocks, words])
         self.dim, self.words = dim, words
         self.rotation = np.linalg.qr(chance.standard_normal((dim, dim)))[0]
-        half = dim // 2
-        self.blocks = [slice(0, half), slice(half, dim)] if half else [slice(0, dim)]
+        edges = [round(dim * i / blocks) for i in range(blocks + 1)]
+        self.blocks = [slice(a, b) for a, b in itertools.pairwise(edges) if a < b]
         self.codes = []
         for b in self.blocks:
             c = chance.standard_normal((words, b.stop - b.start))
             self.codes.append((c / np.linalg.norm(c, axis=1, keepdims=True)).astype(np.float32))
         # The height that random vectors exceed in as many directions as wanted.
         trial = chance.standard_normal((64, dim))
-        parts = self.products(trial / np.linalg.norm(trial, axis=1, keepdims=True))
-        best = [np.sort(p, axis=1)[:, ::-1][:, :400] for p in parts]
-        sums = best[0] if len(best) == 1 else (best[0][:, :, None] + best[1][:, None, :]).reshape(len(trial), -1)
-        wanted = min(filters * len(trial), sums.size)
-        self.height = float(-np.partition(-sums.ravel(), wanted - 1)[wanted - 1])
+        best = []
+        for own in zip(*self.products(trial / np.linalg.norm(trial, axis=1, keepdims=True))):
+            sums = np.zeros(1, np.float32)
+            for p in own:
+                sums = (sums[:, None] + np.sort(p)[::-1][None, :400]).ravel()
+                sums = -np.partition(-sums, TRIED - 1)[:TRIED] if len(sums) > TRIED else sums
+            best.append(sums)
+        every = np.concatenate(best)
+        wanted = min(filters * len(trial), every.size)
+        self.height = float(-np.partition(-every, wanted - 1)[wanted - 1])
 
     def products(self, unit: np.ndarray) -> list[np.ndarray]:
         turned = (unit @ self.rotation).astype(np.float32)
         return [turned[:, b] @ c.T for b, c in zip(self.blocks, self.codes)]
 
+    def _over(self, own: list[np.ndarray], height: float) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers and sums of all directions that reach the height: a beginning is kept while the blocks to come may still lift it there."""
+        best = [float(p.max()) for p in own]
+        number, sums = np.zeros(1, np.int64), np.zeros(1, np.float32)
+        for k, p in enumerate(own):
+            ahead = height - sum(best[k + 1 :]) - 1e-6
+            j = np.flatnonzero(p >= ahead - sums.max())
+            joined = sums[:, None] + p[j][None, :]
+            x, y = np.nonzero(joined >= ahead)
+            number, sums = number[x] * self.words + j[y], joined[x, y]
+            if not len(sums):
+                return number, sums
+        kept = sums >= height
+        return number[kept], sums[kept]
+
     def decode(self, unit: np.ndarray) -> list[np.ndarray]:
         """For each unit vector, the sorted numbers of all directions that it exceeds, and of its LEAST_FILTERS best ones."""
         out = []
+        least = min(LEAST_FILTERS, self.words ** len(self.blocks))
         for at in range(0, len(unit), 512):
-            parts = self.products(unit[at : at + 512])
-            if len(parts) == 1:
-                least = min(LEAST_FILTERS, self.words)
-                out += [np.flatnonzero(p >= min(self.height, -np.partition(-p, least - 1)[least - 1])).astype(np.int64) for p in parts[0]]
-                continue
-            for a, b in zip(*parts):
+            for own in zip(*self.products(unit[at : at + 512])):
                 height = self.height
-                while True:
-                    # Whoever is in a sum of height or more is in these lists, as the other block gives its maximum at most.
-                    i, j = np.flatnonzero(a >= height - b.max()), np.flatnonzero(b >= height - a.max())
-                    sums = a[i][:, None] + b[j][None, :]
-                    x, y = np.nonzero(sums >= height)
-                    if len(x) >= LEAST_FILTERS:
-                        break
+                number, sums = self._over(own, height)
+                while len(number) < least:
                     height -= 0.05
+                    number, sums = self._over(own, height)
                 if height < self.height:
-                    x, y = np.nonzero(sums >= -np.partition(-sums.ravel(), LEAST_FILTERS - 1)[LEAST_FILTERS - 1])
-                out.append(np.sort(i[x].astype(np.int64) * self.words + j[y]))
+                    number = number[sums >= -np.partition(-sums, least - 1)[least - 1]]
+                out.append(np.sort(number))
         return out
 
 
+    def recall(self, cosine: float, pairs: int = 400) -> float:
+        """Of random pairs at the cosine, the part that shares a direction."""
+        if self.dim < 2:
+            return 1.0
+        chance = np.random.default_rng([7, self.dim])
+        a, turn = chance.standard_normal((2, pairs, self.dim))
+        a /= np.linalg.norm(a, axis=1, keepdims=True)
+        turn -= (turn * a).sum(axis=1, keepdims=True) * a
+        turn /= np.linalg.norm(turn, axis=1, keepdims=True)
+        found = zip(self.decode(a), self.decode(cosine * a + math.sqrt(1 - cosine * cosine) * turn))
+        return sum(len(np.intersect1d(x, y, assume_unique=True)) > 0 for x, y in found) / pairs
+
+
+def shape(directions: int, dim: int) -> tuple[int, int]:
+    """Blocks and words of a code with so many directions: more blocks rather than over MOST_WORDS words, but none of under four dimensions."""
+    blocks = min(next(b for b in range(2, 99) if directions <= MOST_WORDS**b), max(1, dim // 4))
+    return blocks, min(MOST_WORDS, math.ceil(directions ** (1 / blocks)))
+
+
 @lru_cache(maxsize=8)
-def code(dim: int, words: int) -> Code:
-    return Code(dim, words)
+def code(dim: int, number: int, cosine: float) -> Code:
+    """The code for so many vectors: ROOM directions for each vector and filter of it, or as many less as RECALL asks, in few dimensions above all.
+
+    It depends on nothing else, so that all tasks make the same one.
+    """
+    directions = max(LEAST_DIRECTIONS, number * FILTERS * ROOM)
+    while True:
+        made = Code(dim, *shape(directions, dim))
+        if directions <= LEAST_DIRECTIONS or made.recall(cosine) >= RECALL:
+            return made
+        directions = max(LEAST_DIRECTIONS, directions // 4)
 
 
 def usable(vector: Column) -> Column:
@@ -106,17 +150,18 @@ def _unit(rows: list[np.ndarray]) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _decoded(classes: DataFrame, words: int) -> DataFrame:
+def _decoded(classes: DataFrame, number: int, least: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = _vectors(batch.column("vector"))
             found: list[np.ndarray] = [np.empty(0, np.int64)] * len(rows)
             for dim in {len(r) for r in rows}:
                 own = [i for i, r in enumerate(rows) if len(r) == dim]
-                for i, f in zip(own, code(dim, words).decode(_unit([rows[i] for i in own]))):
+                for i, f in zip(own, code(dim, number, least).decode(_unit([rows[i] for i in own]))):
                     found[i] = f + dim * SPAN
             lists = pa.ListArray.from_arrays(np.cumsum([0, *map(len, found)]).astype(np.int32), pa.array(np.concatenate([np.empty(0, np.int64), *found])))
             yield pa.RecordBatch.from_arrays([batch.column("id"), lists], ["id", "filters"])
+        tidy()
 
     return classes.select("id", "vector").mapInArrow(run, "id long, filters array<long>")
 
@@ -164,15 +209,16 @@ def near_links(classes: DataFrame, least: float = LEAST_COSINE, piece: int = PIE
     """(id, links, other): of classes (id, vector, weight), what pieces of work found. Sums of links by id are the weights of all that the id
     links with, and links between id and other span the links found.
 
-    Each vector is listed under all filters it exceeds. Those with two vectors or more are looked into: cosines are computed in double precision,
+    Each vector is listed under all filters it exceeds, by its id. Of filters with the same vectors, which near copies have many of, one stands for all, and
+    those with one vector are left out; then vectors are fetched, once for each filter that is left. Cosines are computed in double precision,
     and a link counts under the first filter that both share. A crowded filter is split into pieces, compared two by two in tasks of their own.
     """
-    number = max(2, classes.count())
-    words = min(8192, max(16, math.isqrt(number * FILTERS * ROOM)))
-    listed = cut(_decoded(classes, words))
+    listed = cut(_decoded(classes, classes.count(), least))
     pairs = listed.select("id", F.explode("filters").alias("filter"))
-    counts = pairs.groupBy("filter").agg(F.count("*").alias("n")).filter("n > 1")
-    shared = pairs.join(counts, "filter").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("filter", "n"))).alias("shared"))
+    counts = pairs.groupBy("filter").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y")).filter("n > 1")
+    chosen = cut(counts.groupBy("n", "x", "y").agg(F.min("filter").alias("filter")).select("filter", "n"))
+    met = pairs.join(F.broadcast(chosen), "filter") if chosen.count() <= BROADCAST_ROWS else spread_join(pairs, chosen, ["filter"], ["id"], chosen)
+    shared = met.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("filter", "n"))).alias("shared"))
     full = classes.join(shared, "id")
     pieces = F.ceil(F.col("at.n") / piece).cast("int")
     spread = full.select("id", "vector", "weight", F.col("shared.filter").alias("filters"), F.explode("shared").alias("at"))
@@ -202,21 +248,28 @@ def near_vectors(rows: DataFrame, least: float = LEAST_COSINE) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for each row of rows (vec_id, embedding).
 
     Equal vectors are one class with its number of rows, and linked with each other; classes are compared by near_links().
-    Vectors that are null, empty, zero or have null or non-finite components link with nothing, nor do those of other lengths or rows with a null vec_id (kept
-    is false for these). Rows that share a vec_id and vector link like others. An empty table gives an empty one; further columns are not looked at.
+    Vectors that are null, empty, zero or have null or non-finite components link with nothing, nor do those of other lengths. Rows with a null vec_id link
+    by their vectors like others, name no component and have kept false; where all of a component have none, component_id is null. Rows that share a
+    vec_id, and a vector or not, link like others. An empty table gives an empty one; further columns are not looked at.
     """
-    fit = F.col("vec_id").isNotNull() & usable(F.col("embedding"))
+    fit = usable(F.col("embedding"))
     valid = rows.filter(fit).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").alias("vector"))
-    classes = cut(valid.groupBy("vector").agg(F.min("vec_id").alias("id"), F.count("*").alias("weight")))
-    found = cut(near_links(classes, least))
+    key = [F.xxhash64("vector").alias("a"), F.xxhash64(F.lit(1), "vector").alias("b")]
+    grouped = valid.groupBy("vector").agg(F.min("vec_id").alias("first"), F.count("*").alias("weight"))
+    classes = cut(grouped.withColumn("id", F.monotonically_increasing_id()))  # written once, so the numbers stay
+    found = cut(near_links(classes.select("id", "vector", "weight"), least))
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     parts = components(found.select(F.col("id").alias("a"), F.col("other").alias("b")))
-    known = classes.join(links, "id", "left").join(parts.withColumnRenamed("node", "id"), "id", "left")
-    known = known.select(F.col("vector").alias("same"), (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
-    linked = valid.join(known, F.col("vector") == F.col("same")).select("vec_id", "n_links", "component_id")
+    known = classes.select("id", "first", "weight", *key).join(links, "id", "left").join(parts.withColumnRenamed("node", "id"), "id", "left")
+    known = known.select("a", "b", "first", "weight", (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "id").alias("part"))
+    known = cut(known)
+    names = known.groupBy("part").agg(F.min("first").alias("component_id"))
+    named = cut(known.join(names, "part").select("a", "b", "n_links", "component_id"))
+    linked = spread_join(valid.select("vec_id", *key), named, ["a", "b"], ["vec_id"], known.filter("weight > 1").select("a", "b", F.col("weight").alias("n"))).select("vec_id", "n_links", "component_id")
     lone = rows.filter(~fit).select(F.col("vec_id").cast("long").alias("vec_id"), F.lit(0).cast("long").alias("n_links"), F.col("vec_id").cast("long").alias("component_id"))
     return linked.unionByName(lone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 
 
 def op2_spherical_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """near_vectors() of all embeddings."""
     return near_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))

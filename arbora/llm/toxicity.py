@@ -15,10 +15,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import free_name, table
+from .common import free_name, table, tidy
 
 #: Labelled rows that the model is fitted on at most: those whose doc_ids have the smallest hashes. Everything else sees all rows.
 SAMPLE = 12_000
+#: Bytes of their features at most, so that long texts don't crowd the task that learns; then the rows with the smallest hashes again.
+SAMPLE_BYTES = 1 << 28
 BITS, PREFIXES = 18, (4, 5)
 STEPS, BATCH, RATE, DECAY = 470, 256, 0.08, 5e-5
 #: Sample documents that a feature must be in to have a weight.
@@ -84,6 +86,10 @@ class Model:
         return Model(w[:-1], float(w[-1]))
 
 
+def untaught() -> Model:
+    return Model(np.zeros(1 << BITS), -6.0)
+
+
 def sentence_features(text: str | None) -> list[np.ndarray]:
     found = []
     for sentence in SENTENCE.findall(text or ""):
@@ -96,8 +102,8 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """Learns from labels.toxic of documents that aren't held out: sample of them at most, the same for the same rows.
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Model:
+    """Learns from labels.toxic of documents that aren't held out: sample of them and sample_bytes of features at most, the same for the same rows.
 
     A document with several labels is toxic if one says so; a null label is none. Of rows that share a doc_id one text is read.
     """
@@ -112,18 +118,28 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
             flat = [np.concatenate(d).tobytes() if d else b"" for d in each]
             lengths = [np.array([len(s) for s in d], np.int32).tobytes() for d in each]
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("toxic").cast(pa.int32()), pa.array(lengths, pa.binary()), pa.array(flat, pa.binary())], ["id", "toxic", "lengths", "flat"])
+        features.cache_clear()
+        tidy()
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        read = sorted((row for batch in batches for row in zip(*(batch.column(c).to_pylist() for c in ("id", "toxic", "lengths", "flat")))), key=lambda r: r[0])
+        read, held = [], 0
+        for row in (row for batch in batches for row in zip(*(batch.column(c).to_pylist() for c in ("id", "toxic", "lengths", "flat")))):
+            held += len(row[2]) + len(row[3])
+            if held > sample_bytes and read:
+                break
+            read.append(row)
+        read.sort(key=lambda r: r[0])
         lengths, flat = (np.frombuffer(b"".join(r[k] for r in read), np.int32) for k in (2, 3))
         sentences, toxic = np.array([len(r[2]) // 4 for r in read], np.int64), np.array([r[1] for r in read], np.int64)
         del read
-        model = Model(np.zeros(1 << BITS), -6.0).fit(flat, lengths, sentences, toxic)
+        model = untaught().fit(flat, lengths, sentences, toxic)
         yield pa.RecordBatch.from_arrays([pa.array([model.weights.astype(np.float32).tobytes()], pa.binary()), pa.array([model.bias], pa.float64())], ["weights", "bias"])
+        tidy()
 
     # The sample is bounded, so one task can learn from it; the driver gets the weights only.
-    one = rows.mapInArrow(extract, "id long, toxic int, lengths binary, flat binary").repartition(1).mapInArrow(learn, "weights binary, bias double").first()
-    return Model(np.frombuffer(one["weights"], np.float32).astype(np.float64), one["bias"])
+    made = rows.mapInArrow(extract, "id long, toxic int, lengths binary, flat binary")
+    one = made.repartition(1).sortWithinPartitions(F.xxhash64("id"), "id").mapInArrow(learn, "weights binary, bias double").first()
+    return Model(np.frombuffer(one["weights"], np.float32).astype(np.float64), one["bias"]) if one else untaught()
 
 
 def scored(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
@@ -164,6 +180,7 @@ def scored(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
             if not bad and values and score >= threshold:
                 bad = [int(z.argmax())]
             rows.append((score, int(score >= threshold), len(values), ",".join(f"{spans[i][0]}-{spans[i][1]}" for i in bad)))
+        memory.clear()
         return pd.DataFrame(rows, columns=names)
 
     kept = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in names]
@@ -171,6 +188,7 @@ def scored(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
 
 
 def op5_toxicity_noisy_or(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents, by a model that learned from rows that aren't held out."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = fit(docs, table(spark, sf_dir, "labels"))
     return scored(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "n_sentences", "offending")

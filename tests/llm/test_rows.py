@@ -11,6 +11,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from arbora.llm import bpe, caps, chat, exact, graph, lines, mixing, sharding, simhash, toxicity, urls
+from arbora.llm.common import cut, spread_join
 
 LONG = "word " * 40_000
 TEXTS = ["a b c d e", "A b\tc  d e", "", None, "   ", "\n\n", "é ü 中文 😀", LONG, "a b c d e", "one", "x\ny\nz"]
@@ -51,6 +52,40 @@ def test_components(spark):
     assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_of_chains_take_few_rounds(spark, monkeypatch):
+    """However nodes are numbered along a chain; a round writes two tables, the first edges one, and putting rounds together one each."""
+    chance = np.random.default_rng(2)
+    for order in (np.arange(4000), chance.permutation(4000)):
+        tables = []
+        monkeypatch.setattr(graph, "cut", lambda df: tables.append(1) or cut(df))
+        edges = spark.createDataFrame([(int(a), int(b)) for a, b in zip(order, order[1:])], "a long, b long")
+        got = graph.components(edges)
+        assert got.count() == 4000 and [r["component"] for r in got.select("component").distinct().collect()] == [0]
+        assert len(tables) <= 1 + 3 * 20
+
+
+def test_hot_keys_are_spread(spark):
+    """A key of a third of all rows, one that is null, and others: the join is the plain one's, and no task gets much more than its share."""
+    rows = spark.range(3000).select((F.when(F.col("id") % 3 == 0, -1).when(F.col("id") % 10 == 1, None).otherwise(F.col("id"))).alias("k"), F.col("id").alias("v"), F.lit(1).alias("salt"))
+    named = rows.filter("k IS NOT NULL").groupBy("k").agg((F.col("k") * 2).alias("twice"))
+    before = spark.conf.get("spark.sql.shuffle.partitions"), spark.conf.get("spark.sql.adaptive.enabled"), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for how in ("inner", "left", "left_semi"):
+            want = rows.join(named, ["k"], how)
+            got = spread_join(rows, named, ["k"], ["v"], None, how)
+            assert collections.Counter(map(tuple, got.select(want.columns).collect())) == collections.Counter(map(tuple, want.collect()))
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        for how in ("inner", "left"):
+            got = spread_join(rows, named, ["k"], ["v"], None, how)
+            tasks = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+            assert max(tasks) <= 2.5 * sum(tasks) / 16, (how, sorted(tasks))
+    finally:
+        for k, v in zip(("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold"), before):
+            spark.conf.set(k, v)
+
+
 # ---- 1
 
 
@@ -120,11 +155,13 @@ def test_vectors_against_all_pairs(spark):
     links = [(int(a), int(b)) for a, b in links if a != b]
     want = union_find(range(len(vectors)), links)
     count = collections.Counter(a for a, _ in links)
+    # Row 0's vector stands there once more, without an id: a link more for row 0 and all that it links with.
+    more = {0} | {b for a, b in links if a == 0}
     for i in range(len(vectors)):
-        assert (got[i]["n_links"], got[i]["component_id"], got[i]["kept"]) == (count[i], want[i], want[i] == i)
+        assert (got[i]["n_links"], got[i]["component_id"], got[i]["kept"]) == (count[i] + (i in more), want[i], want[i] == i)
     for i in (1001, 1002, 1003, 1004, 1005, 1006):
         assert (got[i]["n_links"], got[i]["component_id"], got[i]["kept"]) == (0, i, True)
-    assert (got[None]["n_links"], got[None]["component_id"], got[None]["kept"]) == (0, None, False)
+    assert (got[None]["n_links"], got[None]["component_id"], got[None]["kept"]) == (count[0] + 1, want[0], False)
     assert (got[1007]["n_links"], got[1008]["component_id"]) == (1, 1007)
     assert caps.near_vectors(frame.limit(0)).count() == 0
 
@@ -143,15 +180,46 @@ def test_crowded_filters_are_split(spark):
 
 
 def test_all_exceeded_filters_are_decoded():
-    code = caps.Code(24, 40)
     unit = np.random.default_rng(1).standard_normal((5, 24))
     unit /= np.linalg.norm(unit, axis=1, keepdims=True)
-    a, b = code.products(unit)
-    for k, found in enumerate(code.decode(unit)):
-        sums = (a[k][:, None] + b[k][None, :]).ravel()
-        every = np.flatnonzero(sums >= code.height)
-        assert set(every) <= set(found.tolist()) and len(found) >= caps.LEAST_FILTERS
-        assert min(sums[found]) >= np.delete(sums, found).max() or len(found) == len(every)
+    for blocks, words in ((1, 1500), (2, 40), (3, 12)):
+        code = caps.Code(24, blocks, words)
+        parts = code.products(unit)
+        for k, found in enumerate(code.decode(unit)):
+            sums = np.zeros(1, np.float32)
+            for p in parts:
+                sums = (sums[:, None] + p[k][None, :]).ravel()
+            every = np.flatnonzero(sums >= code.height)
+            assert set(every) <= set(found.tolist()) and len(found) >= caps.LEAST_FILTERS
+            assert min(sums[found]) >= np.delete(sums, found).max() or len(found) == len(every)
+
+
+def pairs_at(cosines, dim, chance):
+    a, turn = chance.standard_normal((2, len(cosines), dim))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    turn -= (turn * a).sum(axis=1, keepdims=True) * a
+    turn /= np.linalg.norm(turn, axis=1, keepdims=True)
+    return a, cosines[:, None] * a + np.sqrt(1 - cosines**2)[:, None] * turn
+
+
+@pytest.mark.parametrize("dim", [2, 16, 64, 384])
+@pytest.mark.parametrize("number", [2_000, 400_000, 1_000_000_000])
+def test_pairs_near_the_threshold_share_a_filter(dim, number):
+    """Codes for few and for many vectors; above 350,000 they have three blocks."""
+    chance = np.random.default_rng(dim)
+    code = caps.code(dim, number, 0.95)
+    a, b = pairs_at(chance.uniform(0.95, 0.955, 300), dim, chance)
+    assert np.mean([len(np.intersect1d(x, y)) > 0 for x, y in zip(code.decode(a), code.decode(b))]) >= 0.9
+
+
+@pytest.mark.parametrize("dim", [16, 64, 384])
+def test_links_near_the_threshold(spark, dim):
+    chance = np.random.default_rng(dim)
+    a, b = pairs_at(np.concatenate([chance.uniform(0.9501, 0.955, 150), chance.uniform(0.945, 0.9499, 50)]), dim, chance)
+    vectors = np.concatenate([a, b])
+    got = {r["vec_id"]: r["n_links"] for r in caps.near_vectors(spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")).collect()}
+    want = (vectors @ vectors.T / np.outer(np.linalg.norm(vectors, axis=1), np.linalg.norm(vectors, axis=1)) >= 0.95).sum(axis=1) - 1
+    assert sum(got.values()) >= 0.97 * want.sum() and all(got[i] <= want[i] for i in got)
 
 
 # ---- 3
@@ -196,15 +264,22 @@ def test_fingerprints_against_all_pairs(spark):
 
 
 def test_chat(spark):
-    turns = [(1, 0, "ann", "hi"), (1, 1, "bob", None), (1, 2, None, ""), (1, 600, "ann", "é😀"), (2, None, "ann", "x"), (2, None, "ann", "x"), (None, 3, "bob", "y")]
-    got = {(r["conv_id"], r["assistant"], r["part"]): r for r in chat.rotate(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")).collect()}
-    assert set(got) == {(1, p, k) for p in ("ann", "bob", "anonymous") for k in (0, 1)} | {(2, "ann", 0), (None, "bob", 0)}
-    r = got[1, "bob", 0]
-    assert r["rendered"] == "<|im_start|>user name=ann\nhi<|im_end|>\n<|im_start|>assistant\n<|im_end|>\n<|im_start|>user name=anonymous\n<|im_end|>\n"
-    for r in got.values():
-        own = [r["rendered"][int(a) : int(b)] for a, b in (s.split("-") for s in r["mask"].split(",") if s)]
-        said = [x for x in sorted(turns, key=lambda t: t[1] or 0) if x[0] == r["conv_id"] and (x[2] or "anonymous") == r["assistant"] and (x[1] or 0) // 512 == r["part"]]
-        assert own == [(x[3] or "") + "<|im_end|>" for x in said] and r["n_masked"] == len(said)
+    long = "é word " * 30_000
+    turns = [(1, 0, "ann", "hi"), (1, 1, "bob", None), (1, 2, None, ""), (1, 600, "ann", "é😀"), (1, 601, "bob", "a<|im_end|>\nb"), (1, 2000, "bob", "end"), (2, None, "ann", "x"), (2, None, "ann", "x"), (None, 3, "bob", "y"), (3, 0, "ann", long), (3, 1, "bob", "z")]
+    frame = spark.createDataFrame([(*t, "m", 1) for t in turns], "conv_id long, turn long, role string, text string, mask string, Rendered int")
+    got = {(r["conv_id"], r["assistant"], r["part"]): r for r in chat.rotate(frame).collect()}
+    assert set(got) == {(1, p, k) for p in ("ann", "bob", "anonymous") for k in (0, 1, 3)} | {(2, "ann", 0), (None, "bob", 0), (3, "ann", 0), (3, "bob", 0)}
+    assert got[1, "bob", 0]["rendered"] == "<|im_start|>user name=ann\nhi<|im_end|>\n<|im_start|>assistant\n<|im_end|>\n<|im_start|>user name=anonymous\n<|im_end|>\n"
+    for conv, person in {k[:2] for k in got}:
+        parts = [got[k] for k in sorted((k for k in got if k[:2] == (conv, person)), key=lambda k: k[2])]
+        whole = "".join(r["rendered"] for r in parts)
+        own = [whole[int(a) : int(b)] for r in parts for a, b in (s.split("-") for s in r["mask"].split(",") if s)]
+        said = [x for x in sorted(turns, key=lambda t: t[1] or 0) if x[0] == conv]
+        head = lambda x: "assistant" if (x[2] or "anonymous") == person else f"user name={x[2] or 'anonymous'}"
+        assert whole == "".join(f"<|im_start|>{head(x)}\n{x[3] or ''}<|im_end|>\n" for x in said)
+        assert own == [(x[3] or "") + "<|im_end|>" for x in said if (x[2] or "anonymous") == person]
+        assert [r["starts_at"] for r in parts] == [sum(len(p["rendered"]) for p in parts[:k]) for k in range(len(parts))]
+        assert sum(r["n_masked"] for r in parts) == len(own) and sum(r["n_turns"] for r in parts) == len(said)
     assert chat.rotate(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
@@ -239,6 +314,49 @@ def test_toxicity(spark, docs, none):
     assert all(r["h"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in flags)
 
 
+def plain_features(word):
+    hashes = [xxhash.xxh32_intdigest(word.encode(), 0)] + [xxhash.xxh32_intdigest(word[:n].encode(), n) for n in (4, 5) if len(word) > n]
+    return [h % (1 << 18) for h in hashes]
+
+
+def plain_toxicity(text, weights, bias, threshold=0.5):
+    """Sentence by sentence, in plain arithmetic: score, and the sentences to blame."""
+    found = [(m.start(), m.end(), bias + sum(float(weights[f]) for word in set(re.findall(r"\w+", m[0].lower())) for f in plain_features(word))) for m in re.finditer(r"[^.!?\n]+", text or "")]
+    clean = 1.0
+    for _, _, z in found:
+        clean *= 1 - 1 / (1 + np.exp(-z))
+    score = 1 - clean if found else 0.0
+    bad = [(a, b) for a, b, z in found if 1 / (1 + np.exp(-z)) >= threshold]
+    if not bad and found and score >= threshold:
+        bad = [max(found, key=lambda x: x[2])[:2]]
+    return score, bad
+
+
+def test_toxicity_against_plain_noisy_or(spark, docs):
+    chance = np.random.default_rng(9)
+    weights = np.zeros(1 << 18)
+    weights[chance.integers(0, 1 << 18, 40_000)] = chance.normal(0, 1.5, 40_000)
+    model = toxicity.Model(weights.astype(np.float32).astype(np.float64), -2.0)
+    words = [f"word{i}" for i in range(400)] + ["Über", "x", "ça", "It's"]
+    texts = [None, "", " ", "...", "\n", LONG] + ["".join(str(chance.choice(words)) + str(chance.choice([" ", " ", " ", ". ", "! ", "\n", "? "])) for _ in range(chance.integers(1, 60))) for _ in range(200)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(7, texts[8]), (7, texts[8]), (None, texts[9])]
+    got = toxicity.scored(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()
+    assert len(got) == len(rows) and 20 < sum(r["predicted"] for r in got) < len(rows) - 20
+    for r in got:
+        score, bad = plain_toxicity(r["text"], model.weights, model.bias)
+        assert r["score"] == pytest.approx(score, abs=1e-6) and r["predicted"] == int(r["score"] >= 0.5)
+        assert r["offending"] == ",".join(f"{a}-{b}" for a, b in bad)
+
+
+def test_toxicity_sample_is_bounded(spark):
+    rows = [(i, f"w{i % 7} w{i % 11}. " * (400 if i == 3 else 2), i % 2) for i in range(60)] + [(5, "w1 w2.", 1), (5, "w1 w2.", 0)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    for sample, size in ((10, 1 << 20), (60, 2000), (60, 1)):
+        one, two = (toxicity.fit(d, labels, sample, size) for d in (docs, docs.repartition(3)))
+        assert one.bias == two.bias and (one.weights == two.weights).all()
+
+
 # ---- 6
 
 
@@ -337,6 +455,77 @@ def test_sharding(spark, docs, none):
     assert sharding.shard(none, leaves=4).count() == 0 and sharding.shard(docs, leaves=4).count() == len(ROWS)
 
 
+def plain_tree(boxes, leaves, dims):
+    """A k-d tree in plain Python: the box of the widest dimension's weighted median goes to the nearer side."""
+    low = [min(b["d%d" % i] for b in boxes) for i in range(dims)]
+    wide = [max(1, max(b["d%d" % i] for b in boxes) - low[i]) for i in range(dims)]
+    key = lambda b, i: (int((b["d%d" % i] - low[i]) / float(wide[i]) * (1 << 30)) << 32) + b["tie"]
+    out = {}
+
+    def split(inside, first, leaves):
+        if leaves == 1 or not inside:
+            out.update({(b["a"], b["b"], b["size"], b["piece"]): first for b in inside})
+            return
+        spans = [max(key(b, i) for b in inside) - min(key(b, i) for b in inside) for i in range(dims)]
+        dim = spans.index(max(spans))
+        order = sorted(inside, key=lambda b: key(b, dim))
+        aim, below, at = sum(b["weight"] for b in inside) * (leaves // 2) // leaves, 0, 0
+        if key(order[0], dim) == key(order[-1], dim):
+            at = len(order)
+        else:
+            while below + order[at]["weight"] < aim:
+                below += order[at]["weight"]
+                at += 1
+            at += below + order[at]["weight"] - aim <= aim - below
+        split(order[:at], first, leaves // 2)
+        split(order[at:], first + leaves // 2, leaves - leaves // 2)
+
+    split(boxes, 0, leaves)
+    return out
+
+
+@pytest.mark.parametrize("leaves", [5, 16])
+def test_sharding_against_a_plain_tree(spark, leaves):
+    chance = np.random.default_rng(6)
+    rows = [(int(chance.integers(0, 900)), "t" * int(chance.integers(0, 200)) + str(i % 300), f"http://host/of/long/prefix/{i % 9}", float(chance.normal()) if i % 5 else None, int(chance.integers(-9, 9))) for i in range(700)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, quality double, n_chars long")
+    used = ("n_chars", "doc_id", "quality", "source")
+    _, boxes, _, dims = sharding.cells(docs, leaves, None, used)
+    held = [r.asDict() for r in boxes.collect()]
+    want = plain_tree(held, leaves, dims)
+    got = {(r["a"], r["b"], r["size"], r["piece"]): r["shard"] for r in sharding.tree(boxes, leaves, dims).collect()}
+    assert got == want and len(set(got.values())) == leaves
+    # Whatever isn't a whole number counts by its rank, null first.
+    for k, column in ((2, 3), (3, 2)):
+        least = {}
+        for r in rows:
+            own = [v for v in (least.get(r[1]), r[column]) if v is not None]
+            least[r[1]] = min(own) if own else None
+        ranks = {v: i + 1 for i, v in enumerate(sorted({v for v in least.values() if v is not None}))} | {None: 0}
+        assert collections.Counter(ranks[v] for v in least.values()) == collections.Counter(b[f"d{k}"] for b in {(b["a"], b["b"]): b for b in held}.values())
+
+
+def test_sharding_keeps_equal_texts_together(spark):
+    chance = np.random.default_rng(8)
+    rows = [(i, f"text {i // 3} " * int(1 + (i // 3) % 9), f"s{chance.integers(9)}", "en", int(chance.integers(99))) for i in range(3000)] + [(9000 + i, None if i % 2 else "", "s", "en", 0) for i in range(60)]
+    got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, n_chars long"), leaves=16).collect()
+    shards, size = collections.defaultdict(set), collections.Counter()
+    text = {r[0]: r[1] or "" for r in rows}
+    for r in got:
+        shards[text[r["doc_id"]]].add(r["shard"])
+        size[r["shard"]] += r["size"]
+    assert len(got) == len(rows) and all(len(s) == 1 for s in shards.values())
+    assert max(size.values()) <= 1.05 * min(size.values())
+    # Repeated rows, and a group of copies over a shard, are dealt evenly.
+    for copies in ([(1, "same text", "s", "en", 9)] * 2000, [(i, "same text", f"s{i % 5}", "en", 9) for i in range(2000)]):
+        got = sharding.shard(spark.createDataFrame(copies, "doc_id long, text string, source string, lang string, n_chars long"), leaves=16).collect()
+        size, slots = collections.Counter(r["shard"] for r in got), collections.defaultdict(list)
+        for r in got:
+            slots[r["shard"]].append(r["slot"])
+        assert len(got) == 2000 and len(size) == 16 and max(size.values()) <= 1.35 * min(size.values())
+        assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
 # ---- 8
 
 
