@@ -20,12 +20,19 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
-def cut(df: DataFrame) -> DataFrame:
+#: Rows of a few numbers that one task writes, where a table is known to be small.
+TASK_ROWS = 100_000
+
+
+def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
     """df, computed once and written as a table in the shared folder, from which all later steps read.
 
     Unlike a checkpoint, a table has its own size as its statistics: in a loop of joins the estimates of a checkpoint multiply from round
-    to round. The tables (cut-*) can go when the session has ended.
+    to round. The tables (cut-*) can go when the session has ended. rows: how many light rows there are at most, if that is known; few rows
+    are written by few tasks then.
     """
     path = f"{shared_dir(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // TASK_ROWS)))
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
