@@ -60,7 +60,7 @@ def spread_join(rows: DataFrame, named: DataFrame, keys: list[str], by: list[str
     their table is broadcast, and named grows by as many rows at most.
     """
     partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    counts = cut(rows.groupBy(*keys).agg(F.count("*").alias("n"))) if counts is None else counts
+    counts = cut(rows.groupBy(*keys).agg(F.count("*").alias("n")).filter("n > 1")) if counts is None else counts
     sums = counts.agg(F.sum("n").alias("rows"), F.max("n").alias("most")).first()
     share = max(1, (sums["rows"] or 0) // partitions)
     if (sums["most"] or 0) <= share:

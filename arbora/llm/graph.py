@@ -24,21 +24,22 @@ def components(edges: DataFrame) -> DataFrame:
     """
     left = cut(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     jumps: list[DataFrame] = []
-    while not left.isEmpty():
+    while edges_left := left.count():
         number = len(jumps)
         both = left.union(left.select("b", "a"))
         least = both.groupBy(F.col("a").alias("node")).agg(F.min_by("b", _drawn(F.col("b"), number)).alias("low"))
         first = least.select("node", F.when(_drawn(F.col("low"), number) < _drawn(F.col("node"), number), F.col("low")).otherwise(F.col("node")).alias("to"))
         second = first.select(F.col("node").alias("to"), F.col("to").alias("then"))
-        jump = cut(first.join(second, "to").select("node", F.col("then").alias("to")))
+        jump = cut(first.join(second, "to").select("node", F.col("then").alias("to")), 2 * edges_left)
         at = lambda end: jump.select(F.col("node").alias(end), F.col("to").alias(f"{end}_to"))  # noqa: E731, B023
         moved = left.join(at("a"), "a").join(at("b"), "b").filter("a_to <> b_to")
-        left = cut(moved.select(F.greatest("a_to", "b_to").alias("a"), F.least("a_to", "b_to").alias("b")).distinct())
+        left = cut(moved.select(F.greatest("a_to", "b_to").alias("a"), F.least("a_to", "b_to").alias("b")).distinct(), edges_left)
         jumps.append(jump)
     if not jumps:
         return left.select(F.col("a").alias("node"), F.col("b").alias("component"))
     ends = jumps.pop()
     while jumps:  # from the last round back, so that each step reads and writes the nodes of its own round only
-        ends = cut(jumps.pop().join(ends.select(F.col("node").alias("to"), F.col("to").alias("then")), "to", "left").select("node", F.coalesce("then", "to").alias("to")))
+        jump = jumps.pop()
+        ends = cut(jump.join(ends.select(F.col("node").alias("to"), F.col("to").alias("then")), "to", "left").select("node", F.coalesce("then", "to").alias("to")), jump.count())
     least = ends.groupBy("to").agg(F.min("node").alias("component"))
     return ends.join(least, "to").select("node", "component")

@@ -57,7 +57,7 @@ def test_components_of_chains_take_few_rounds(spark, monkeypatch):
     chance = np.random.default_rng(2)
     for order in (np.arange(4000), chance.permutation(4000)):
         tables = []
-        monkeypatch.setattr(graph, "cut", lambda df: tables.append(1) or cut(df))
+        monkeypatch.setattr(graph, "cut", lambda df, rows=None: tables.append(1) or cut(df, rows))
         edges = spark.createDataFrame([(int(a), int(b)) for a, b in zip(order, order[1:])], "a long, b long")
         got = graph.components(edges)
         assert got.count() == 4000 and [r["component"] for r in got.select("component").distinct().collect()] == [0]
