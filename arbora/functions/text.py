@@ -7,18 +7,42 @@ from pyspark.sql import functions as F
 
 #: Characters of a context line, and where in a longer one's window the match stands.
 CONTEXT, CONTEXT_PLACE = 100, 3
+#: Entries of an array that running() sums up together.
+CHUNK = 512
+
+
+def _let(value: Column, then) -> Column:
+    """then(value), with value computed once."""
+    return F.transform(F.array(value), then)[0]
+
+
+def running(sizes: Column) -> Column:
+    """Of an array of longs, for each entry the sum of all before it. In chunks, so that a long array isn't copied for each of its entries."""
+    none = F.struct(F.array().cast("array<bigint>").alias("a"), F.lit(0).cast("long").alias("n"))
+    grow = lambda acc, x: F.struct(F.concat(acc["a"], F.array(acc["n"])).alias("a"), (acc["n"] + x).alias("n"))
+
+    def joined(xs: Column) -> Column:
+        number = F.floor((F.size(xs) + (CHUNK - 1)) / CHUNK).cast("int")
+        places = F.when(number > 0, F.sequence(F.lit(0), number - 1)).otherwise(F.array().cast("array<int>"))
+        chunks = F.transform(places, lambda k: F.aggregate(F.slice(xs, k * CHUNK + 1, CHUNK), none, grow))
+        return _let(chunks, lambda own: F.flatten(F.zip_with(own, F.aggregate(own, none, lambda acc, x: grow(acc, x["n"]))["a"], lambda x, before: F.transform(x["a"], lambda y: y + before))))
+
+    return _let(sizes, joined)
 
 
 def lines(df: DataFrame, text: str = "text") -> DataFrame:
     """A row for each line, with line (from 1), line_text and start, its first byte. Lines end at \\n or \\r\\n; an empty one after the
     last end isn't there. Null and empty texts have no lines."""
     parts = F.split(F.col(text), "\n", -1)
-    sizes = F.transform(parts, lambda x: F.octet_length(x) + 1)
-    placed = F.transform(parts, lambda x, i: F.struct((i + 1).alias("line"), F.regexp_replace(x, "\r$", "").alias("line_text"), i.alias("i")))
-    kept = F.filter(placed, lambda x: (x["line"] < F.size(parts)) | (x["line_text"] != ""))
-    starts = F.aggregate(sizes, F.struct(F.array(F.lit(0).cast("long")).alias("a"), F.lit(0).cast("long").alias("n")), lambda acc, s: F.struct(F.concat(acc["a"], F.array(acc["n"] + s)).alias("a"), (acc["n"] + s).alias("n")), lambda acc: acc["a"])
-    out = df.withColumn("_starts", starts).withColumn("_line", F.explode(kept))
-    return out.select(*df.columns, F.col("_line.line").alias("line"), F.col("_line.line_text").alias("line_text"), F.element_at("_starts", F.col("_line.i") + 1).alias("start"))
+    kept = _let(
+        parts,
+        lambda xs: F.filter(
+            F.zip_with(xs, _let(F.transform(xs, lambda x: (F.octet_length(x) + 1).cast("long")), running), lambda x, start: F.struct(F.regexp_replace(x, "\r$", "").alias("line_text"), start.alias("start"))),
+            lambda x, i: (i + 1 < F.size(xs)) | (x["line_text"] != ""),
+        ),
+    )
+    out = df.select(*df.columns, F.posexplode(kept).alias("_at", "_line"))
+    return out.select(*df.columns, (F.col("_at") + 1).alias("line"), F.col("_line.line_text").alias("line_text"), F.col("_line.start").alias("start"))
 
 
 def matching_lines(df: DataFrame, pattern: str, text: str = "text") -> DataFrame:
@@ -48,9 +72,13 @@ def context_line(line: Column, column: Column) -> Column:
     return F.when(size <= CONTEXT, trimmed).otherwise(cut)
 
 
+def pairs(x: Column) -> Column:
+    """All pairs of neighbouring characters, in their order."""
+    return F.when(F.char_length(x) < 2, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), F.char_length(x) - 1), lambda i: F.substring(x, i, F.lit(2))))
+
+
 def dice(a: Column, b: Column) -> Column:
     """Twice the shared pairs of neighbouring characters, with their multiplicity, over all pairs; 0 where there are none."""
-    pairs = lambda x: F.when(F.char_length(x) < 2, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), F.char_length(x) - 1), lambda i: F.substring(x, i, F.lit(2))))
     count = lambda xs, y: F.size(F.filter(xs, lambda x: x == y))
     first, second = pairs(a), pairs(b)
     shared = F.aggregate(F.array_intersect(first, second), F.lit(0), lambda acc, x: acc + F.least(count(first, x), count(second, x)))

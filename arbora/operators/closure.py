@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..storage import cut
+from ..storage import cut, shared_dir
 
 #: Levels and paths for each target that usable paths keep.
 LEVELS, PATHS = 16, 16
@@ -14,17 +16,21 @@ LEVELS, PATHS = 16, 16
 def reachable(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """(seed, node, rounds): all that each of seeds (seed, node) reaches over edges (a, b), itself included, and after how many steps.
 
-    Each round joins only what the last one found. Cycles end, as nothing is found twice.
+    Each round joins only what the last one found, and adds it to the files of what is known. Cycles end, as nothing is found twice.
     """
-    known = cut(seeds.select("seed", "node").distinct().withColumn("rounds", F.lit(0)))
-    edge, number = known, 0
+    spark = seeds.sparkSession
+    folder = f"{shared_dir(spark)}/reached-{uuid.uuid4().hex}"
+    edge = cut(seeds.select("seed", "node").distinct().withColumn("rounds", F.lit(0)))
+    edge.write.parquet(folder)
+    number = 0
     while True:
         number += 1
+        known = spark.read.schema(edge.schema).parquet(folder)
         step = edge.join(edges.select(F.col("a").alias("node"), "b"), "node").select("seed", F.col("b").alias("node")).distinct()
         edge = cut(step.join(known, ["seed", "node"], "left_anti").withColumn("rounds", F.lit(number)))
         if edge.isEmpty():
             return known
-        known = cut(known.unionByName(edge))
+        edge.write.mode("append").parquet(folder)
 
 
 def features(values: DataFrame, optional: DataFrame, asked: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import running
+
 PLAN = "path string, start long, end long, replacement string, seq long"
 
 
@@ -62,8 +64,9 @@ def literal_edits(files: DataFrame, old: str, new: str) -> DataFrame:
     """An edit for each place of old in files (path, text), none overlapping another, in bytes."""
     parts = F.split(F.col("text"), r"\Q" + old + r"\E", -1)
     size = len(old.encode())
-    ends = F.aggregate(parts, F.struct(F.array().cast("array<bigint>").alias("a"), F.lit(0).cast("long").alias("n")), lambda acc, x: F.struct(F.concat(acc["a"], F.array(acc["n"] + F.octet_length(x))).alias("a"), (acc["n"] + F.octet_length(x) + size).alias("n")), lambda acc: acc["a"])
-    places = files.select("path", F.posexplode(F.slice(ends, F.lit(1), F.size(parts) - 1)).alias("seq", "start"))
+    lengths = F.transform(parts, lambda x: (F.octet_length(x) + size).cast("long"))
+    places = files.select("path", F.posexplode(F.slice(running(lengths), F.lit(2), F.greatest(F.lit(0), F.size(parts) - 1))).alias("seq", "after"))
+    places = places.withColumn("start", F.col("after") - size)
     return places.select("path", "start", (F.col("start") + size).alias("end"), F.lit(new).alias("replacement"), F.col("seq").cast("long").alias("seq"))
 
 

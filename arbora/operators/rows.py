@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import cut
+
 
 def segments(df: DataFrame, keys: list[str], order: list[Column], barrier: Column) -> DataFrame:
     """df with segment: how many barriers stand before a row or at it; what is between two may be ordered by itself."""
@@ -74,3 +76,15 @@ def adopted(first: DataFrame, more: DataFrame, keys: list[str]) -> DataFrame:
 def grouped_lines(found: DataFrame) -> DataFrame:
     """A row for each file and line of found (path, line, column), with its columns in order and how many there are."""
     return found.groupBy("path", "line").agg(F.sort_array(F.collect_list("column")).alias("columns"), F.count("*").alias("n"))
+
+
+def numbered(df: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
+    """df with each row's number in the order, from 1; equal rows in any order, always the same once written.
+
+    Rows are dealt to tasks by ranges of the order and numbered there; only how many each range has meets in one task.
+    """
+    ranged = cut(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = ranged.groupBy("_range").agg(F.count("*").alias("_n")).select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    own = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return ranged.withColumn(name, own).join(F.broadcast(sizes), "_range").withColumn(name, (F.col(name) + F.col("_before")).cast("long")).drop("_range", "_before")

@@ -21,14 +21,15 @@ def containing(points: DataFrame, spans: DataFrame, keys: list[str], point: str
     """Pairs of a point and a range [start, end) of the same keys that holds it.
 
     A range is listed in each cell it touches, and a point in its own: an equi-join on keys and cell, with the exact test on top, so that a
-    long text neither makes one task nor all its pairs. Ranges wider than 64 cells are listed in coarser ones, at each power of 64.
+    long text neither makes one task nor all its pairs. Ranges wider than 64 cells are listed in coarser ones, at each power of 64; points are asked for
+    at those levels that some range has, a handful at most, which are looked up first.
     """
     width = F.greatest(F.lit(1), F.col(end) - F.col(start))
     level = F.greatest(F.lit(0), F.ceil(F.log(64.0, width / cell))).cast("int")
     wide = F.pow(F.lit(64), F.col("_level")) * cell
     listed = spans.withColumn("_level", level).withColumn("_cell", F.explode(F.sequence(F.floor(F.col(start) / wide).cast("long"), F.floor((F.greatest(F.col(end), F.col(start) + 1) - 1) / wide).cast("long"))))
-    levels = 5
-    asked = points.withColumn("_level", F.explode(F.sequence(F.lit(0), F.lit(levels - 1)))).withColumn("_cell", F.floor(F.col(point) / wide).cast("long"))
+    levels = sorted(r[0] for r in spans.select(level.alias("level")).distinct().collect() if r[0] is not None)
+    asked = points.withColumn("_level", F.explode(F.array(*map(F.lit, levels)).cast("array<int>"))).withColumn("_cell", F.floor(F.col(point) / wide).cast("long"))
     both = asked.join(listed, [*keys, "_level", "_cell"])
     return both.filter(contains(F.col(start), F.col(end), F.col(point))).drop("_level", "_cell")
 

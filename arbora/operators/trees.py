@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import cut
+from .rows import numbered
 
 
 def ancestors(nodes: DataFrame, node: str = "node", parent: str = "parent") -> DataFrame:
@@ -41,8 +42,9 @@ def nested_sets(paths: DataFrame, path: str = "path", group: str = "root") -> Da
 
     Numbers count within a group (a column that all nodes of one tree share); a node is below another if its path starts with that one's.
     """
-    order = Window.partitionBy(group).orderBy(path)
-    ranked = paths.withColumn("pre", F.row_number().over(order))
+    whole = numbered(paths, [F.col(group).asc(), F.col(path).asc()], "pre")
+    first = whole.groupBy(group).agg(F.min("pre").alias("_first"))
+    ranked = cut(whole.join(first, group).withColumn("pre", (F.col("pre") - F.col("_first") + 1).cast("int")).drop("_first"))
     # post: the last node whose path starts with this one's. Each node reports itself to all its prefixes.
     up = ranked.select(group, "pre", F.explode(F.transform(F.sequence(F.lit(1), F.size(path)), lambda k: F.slice(F.col(path), F.lit(1), k))).alias(path))
     last = up.groupBy(group, path).agg(F.max("pre").alias("post"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import cfg, globs, order, text
@@ -30,8 +30,8 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
 def places(spark: SparkSession, d: str) -> DataFrame:
     """Regions, nations and customers as items of one crate: kind, name, flat_path, path, parent's path."""
     region, nation, customer = (table(spark, d, t) for t in ("region", "nation", "customer"))
-    nations = nation.join(F.broadcast(region), F.col("n_regionkey") == F.col("r_regionkey"))
-    customers = customer.join(F.broadcast(nations), F.col("c_nationkey") == F.col("n_nationkey"))
+    nations = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey"))
+    customers = customer.join(nations, F.col("c_nationkey") == F.col("n_nationkey"))
 
     def level(df: DataFrame, kind: str, key: str, *names: str) -> DataFrame:
         up = F.concat_ws("::", *names[:-1]) if names[1:] else F.lit(None).cast("string")
@@ -99,12 +99,12 @@ def find_count(spark, d):
 SELECT name, row_number() OVER (ORDER BY regexp_extract(name, '^[^0-9]*'), CAST(nullif(regexp_extract(name, '[0-9]+'), '') AS BIGINT), name) AS rank FROM names""")
 def version_order(spark, d):
     names = table(spark, d, "part").select(F.col("p_brand").alias("name")).distinct()
-    return names.withColumn("rank", F.row_number().over(Window.orderBy(*order.version_key(F.col("name")))).cast("long"))
+    return rows.numbered(names, order.version_key(F.col("name")))
 
 
 @query("""WITH lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line_text, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line FROM documents)
-SELECT doc_id, line, regexp_extract(line_text, '[A-Z][a-z]+tion\\b') AS match, length(regexp_extract(line_text, '(?s)^(.*?)[A-Z][a-z]+tion\\b', 1)) + 1 AS "column"
-FROM lines WHERE regexp_matches(line_text, '[A-Z][a-z]+tion\\b')""")
+SELECT doc_id, line, regexp_extract(line_text, '([A-Z][a-z]+tion)(?:[^\\pL\\pM\\pN\\p{Pc}]|$)', 1) AS match, length(regexp_extract(line_text, '(?s)^(.*?)[A-Z][a-z]+tion(?:[^\\pL\\pM\\pN\\p{Pc}]|$)', 1)) + 1 AS "column"
+FROM lines WHERE regexp_matches(line_text, '[A-Z][a-z]+tion(?:[^\\pL\\pM\\pN\\p{Pc}]|$)')""")
 def search_text_lines(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "text")
     return text.matching_lines(docs, r"[A-Z][a-z]+tion\b").select("doc_id", F.col("line").cast("long").alias("line"), "match", F.col("column").cast("long").alias("column"))
@@ -188,17 +188,29 @@ def nested_set(spark, d):
     return trees.nested_sets(paths, "parts").select(F.array_join("parts", "::").alias("path"), F.col("pre").cast("long").alias("pre"), F.col("post").cast("long").alias("post"))
 
 
-@query(f"""WITH {PLACES} SELECT c.path AS node, count(*) FILTER (WHERE starts_with(n.path, c.parent)) AS seen_from FROM places c, (SELECT path FROM places WHERE kind = 'nation') n
-WHERE c.kind = 'nation' GROUP BY c.path""")
+@query(f"""WITH {PLACES}, scopes AS (SELECT s.path, count(*) AS seen_from FROM places s JOIN places n ON n.path = s.path OR starts_with(n.path, s.path || '::') WHERE s.kind <> 'customer' GROUP BY s.path)
+SELECT p.path AS node, s.seen_from FROM places p JOIN scopes s ON s.path = p.parent""")
 def visible_within(spark, d):
-    """How many nations each nation is visible from, were it visible within its region only."""
-    paths = places(spark, d).filter("kind <> 'customer'").select(F.split("path", "::").alias("parts")).withColumn("root", F.lit(0))
-    sets = trees.nested_sets(paths, "parts").select(F.array_join("parts", "::").alias("path"), F.size("parts").alias("depth"), "pre", "post")
-    regions = sets.filter("depth = 1").select(F.col("path").alias("region"), F.col("pre").alias("a"), F.col("post").alias("z"))
-    nations = sets.filter("depth = 2").select("path", "pre", F.split("path", "::")[0].alias("region"))
-    askers = nations.select(F.col("region").alias("from_region"), F.col("pre").alias("from_pre"))
-    seen = nations.join(regions, "region").join(askers, F.col("region") == F.col("from_region")).filter(trees.visible(F.col("a"), F.col("z"), F.col("from_pre")))
-    return seen.groupBy(F.col("path").alias("node")).agg(F.count("*").alias("seen_from"))
+    """How many places each place is visible from, were it visible within its parent only: those of the parent's range."""
+    sets = _sets(spark, d)
+    scopes = sets.select(F.col("path").alias("parent"), (F.col("post") - F.col("pre") + 1).cast("long").alias("seen_from"))
+    return sets.select(F.col("path").alias("node"), "parent").join(scopes, "parent").select("node", "seen_from")
+
+
+@query(f"""WITH {PLACES} SELECT path, kind FROM places WHERE parent IS NULL OR parent = 'ASIA' OR parent = (SELECT min(path) FROM places WHERE kind = 'nation' AND starts_with(path, 'ASIA::'))""")
+def visible_from(spark, d):
+    """What the first nation of Asia sees, were regions public and all else visible within its parent only."""
+    sets = _sets(spark, d)
+    scope = sets.select(F.col("path").alias("parent"), F.col("pre").alias("scope_pre"), F.col("post").alias("scope_post"))
+    asker = sets.filter("kind = 'nation' AND startswith(path, 'ASIA::')").agg(F.min_by("pre", "path").alias("asker_pre"))
+    judged = sets.join(scope, "parent", "left").join(F.broadcast(asker))
+    return judged.filter(trees.visible(F.col("scope_pre"), F.col("scope_post"), F.col("asker_pre"))).select("path", "kind")
+
+
+def _sets(spark, d):
+    """All places as one tree's nested sets, with path, parent and kind."""
+    paths = places(spark, d).select("kind", "parent", F.split("path", "::").alias("parts")).withColumn("root", F.lit(0))
+    return trees.nested_sets(paths, "parts").withColumn("path", F.array_join("parts", "::"))
 
 
 CFG = 'all(any(returned, linestatus = "O"), not(discounted))'
@@ -225,21 +237,25 @@ def active_only(spark, d):
     return table(spark, d, "lineitem").filter(cfg.keep_possible(cfg.Cfg.parse(CFG).column(_facts))).select("l_orderkey", "l_linenumber")
 
 
-@query("""WITH RECURSIVE e(a, b) AS (VALUES (1, 2), (2, 3), (3, 1), (3, 4), (5, 6), (6, 5)),
-r(seed, node) AS (SELECT DISTINCT a, a FROM e UNION SELECT r.seed, e.b FROM r JOIN e ON r.node = e.a) SELECT seed, node FROM r""")
+@query(f"""WITH RECURSIVE {PLACES}, e AS (SELECT parent AS a, path AS b FROM places WHERE parent IS NOT NULL UNION ALL SELECT path, parent FROM places WHERE kind = 'nation'),
+r(seed, node, rounds) AS (SELECT path, path, 0 FROM places WHERE kind <> 'customer' UNION SELECT r.seed, e.b, r.rounds + 1 FROM r JOIN e ON r.node = e.a WHERE r.rounds < 4)
+SELECT seed, node, min(rounds) AS rounds FROM r GROUP BY seed, node""")
 def transitive_closure(spark, d):
-    edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (3, 4), (5, 6), (6, 5)], "a int, b int")
-    return closure.reachable(edges, edges.select(F.col("a").alias("seed"), F.col("a").alias("node"))).select("seed", "node")
+    """What each region and nation reaches over links down to all places, and up to regions: cycles, which take four steps at most."""
+    all_places = places(spark, d)
+    down = all_places.filter("parent IS NOT NULL").select(F.col("parent").alias("a"), F.col("path").alias("b"))
+    up = all_places.filter("kind = 'nation'").select(F.col("path").alias("a"), F.col("parent").alias("b"))
+    seeds = all_places.filter("kind <> 'customer'").select(F.col("path").alias("seed"), F.col("path").alias("node"))
+    return closure.reachable(down.unionByName(up), seeds).select("seed", "node", "rounds")
 
 
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT l_partkey AS a, l_suppkey + 1000000 AS b FROM lineitem WHERE l_quantity >= 49),
-r(node) AS (SELECT min(a) FROM e UNION SELECT CASE WHEN e.a = r.node THEN e.b ELSE e.a END FROM r JOIN e ON r.node = e.a OR r.node = e.b) SELECT node FROM r""")
+@query()
 def reachable_parts(spark, d):
-    """What the first part reaches by suppliers that ship large amounts of both."""
-    half = table(spark, d, "lineitem").filter("l_quantity >= 49").select(F.col("l_partkey").alias("a"), (F.col("l_suppkey") + 1000000).alias("b")).distinct()
+    """All parts and suppliers that the first part reaches over line items; without SQL, which takes too long to recurse over them."""
+    half = table(spark, d, "lineitem").select(F.col("l_partkey").alias("a"), (F.col("l_suppkey") + 1000000).alias("b")).distinct()
     edges = half.unionByName(half.select(F.col("b").alias("a"), F.col("a").alias("b")))
     seed = half.agg(F.min("a").alias("seed")).withColumn("node", F.col("seed"))
-    return closure.reachable(edges, seed).select("node")
+    return closure.reachable(edges, seed).select("node", "rounds")
 
 
 @query(f"""WITH {PLACES}, pool AS (SELECT DISTINCT path, path = 'AMERICA::nation_1' OR ends_with(path, '::AMERICA::nation_1') AS suffix FROM places WHERE lower(name) = 'nation_1'),
@@ -253,11 +269,9 @@ c AS (SELECT name, p, count(*) AS n FROM g GROUP BY name, p), t AS (SELECT n_nam
 s AS (SELECT a.name AS a, b.name AS b, sum(least(a.n, b.n)) AS shared FROM c a JOIN c b USING (p) WHERE a.name <> b.name GROUP BY a.name, b.name)
 SELECT s.a AS name, max(2.0 * CAST(s.shared AS DOUBLE) / (x.n + y.n)) AS similarity FROM s JOIN t x ON x.name = s.a JOIN t y ON y.name = s.b GROUP BY s.a""")
 def dice_closest(spark, d):
-    names = table(spark, d, "nation").select(F.col("n_name").alias("name"), F.lit(0).alias("k"))
-    others = names.select(F.col("name").alias("other"), "k")
-    both = names.join(others, "k").filter("name <> other")
-    scored = both.withColumn("similarity", text.dice(F.col("name"), F.col("other"))).groupBy("name").agg(F.max("similarity").alias("similarity"))
-    return scored.filter("similarity > 0")
+    names = table(spark, d, "nation").select(F.col("n_name").alias("name"))
+    scored = suggest.alike(names, names.withColumnRenamed("name", "other"), "name", "other").filter("name <> other")
+    return scored.groupBy("name").agg(F.max("similarity").alias("similarity"))
 
 
 @query("SELECT user_id, event_type, arg_max(event_id, value * 1000000000 - event_id) AS event_id FROM events GROUP BY user_id, event_type")
@@ -287,9 +301,11 @@ def topk_per_key(spark, d):
     return rows.top(table(spark, d, "orders"), ["o_custkey"], [F.col("o_totalprice").desc(), F.col("o_orderkey")], 16).select("o_custkey", "o_orderkey", F.col("rank").cast("long").alias("rank"))
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 200000)")
 def lost_bindings(spark, d):
-    return rows.lost(table(spark, d, "customer").select("c_custkey"), table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"])
+    """Customers who are no longer among those with large orders."""
+    after = table(spark, d, "orders").filter("o_totalprice > 200000").select(F.col("o_custkey").alias("c_custkey"))
+    return rows.lost(table(spark, d, "customer").select("c_custkey"), after, ["c_custkey"])
 
 
 @query("SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer) AND o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment <> 'BUILDING')")
