@@ -59,6 +59,12 @@ class Cfg:
             return cls(name, tuple(inner)), rest[1:]
         return cls("other", name=name), rest[1:]
 
+    def text(self) -> str:
+        """The predicate as it is written."""
+        if self.kind == "is":
+            return self.name if self.value is None else f'{self.name} = "{self.value}"'
+        return self.name if self.kind == "other" else f"{self.kind}({', '.join(x.text() for x in self.inner)})"
+
     def fold(self, fact):
         """True, False or None; fact(name, value) answers for one fact. Unknown only where the answer hangs on it."""
         if self.kind == "is":

@@ -149,6 +149,153 @@ class Path:
         return test
 
 
+def normal_arguments(text: str) -> str:
+    """Generic arguments as they are compared: without white space but for one blank between two words."""
+    return re.sub(r"\s+", " ", re.sub(r"(?<![\w'])\s+|\s+(?!\w)", "", text))
+
+
+def arguments(text: Column) -> Column:
+    """The same of the last segment of a type or trait as written; null where it has none."""
+    last = F.regexp_extract(text, r"^[^<]*\w\s*(<.*>)\s*$", 1)
+    inner = F.regexp_replace(F.regexp_replace(last, r"(?<![\w'])\s+|\s+(?!\w)", ""), r"\s+", " ")
+    return F.when(last != "", inner)
+
+
+def written(text: Column) -> Column:
+    """The names of a path as written, joined by SEP: without references, generic arguments and what anchors it."""
+    bare = F.regexp_replace(text, r"->", "")
+    bare = F.regexp_replace(bare, r"&\s*('\w+\s+)?|\b(mut|dyn|impl)\s+", "")
+    for _ in range(8):  # from the innermost brackets out
+        bare = F.regexp_replace(bare, r"<[^<>]*>", "")
+    bare = F.regexp_replace(F.regexp_replace(bare, r"\s+", ""), r"^(?:(?:crate|self|super)?::)+", "")
+    return F.regexp_replace(bare, "::", SEP)
+
+
+def _balanced(text: str, opening: str, closing: str) -> int:
+    """The place behind the bracket that closes the first character's; arrows aren't brackets."""
+    depth = 0
+    for i, c in enumerate(text):
+        if c == opening:
+            depth += 1
+        elif c == closing and text[i - 1] != "-":
+            depth -= 1
+            if not depth:
+                return i + 1
+    raise PatternError(f"{text!r}: {closing!r} is missing")
+
+
+def _outside(text: str, word: str) -> int:
+    """Where ` word ` stands outside of angle brackets, or -1."""
+    depth = 0
+    for i, c in enumerate(text):
+        depth += (c == "<") - (c == ">" and text[i - 1] != "-")
+        if not depth and text.startswith(f" {word} ", i):
+            return i
+    return -1
+
+
+@dataclass(frozen=True)
+class Selector:
+    """Which of several blocks with one header: those with an item of a name, with an attribute, or the n-th by file and place."""
+
+    name: str = ""
+    attribute: str = ""
+    index: int = 0
+
+    @classmethod
+    def parse(cls, text: str) -> Selector:
+        inner = text.strip()[1:-1].strip()
+        if inner.isdigit():
+            return cls(index=int(inner))
+        return cls(attribute=inner[1:].strip()) if inner.startswith("#") else cls(name=inner.removeprefix("r#"))
+
+
+@dataclass(frozen=True)
+class Qualified:
+    """A pattern for impl blocks and their items: `<Type as Trait>::name`, `<Type>::*`, `impl Trait for Type`, `impl Type[2]`."""
+
+    self_ty: Path
+    trait: Path | None = None
+    item: str | None = None
+    self_arguments: str | None = None
+    trait_arguments: str | None = None
+    selector: Selector | None = None
+    ignore_case: bool = False
+
+    only = ""
+
+    @classmethod
+    def parse(cls, text: str, ignore_case: bool = False) -> Qualified:
+        rest, selector, item = text.strip(), None, None
+        if rest.startswith("<"):
+            end = _balanced(rest, "<", ">")
+            header, rest = rest[1 : end - 1], rest[end:].strip()
+            at = _outside(f"{header} ", "as")
+            first, second = (header[:at], header[at + 4 :]) if at >= 0 else (header, None)
+        elif rest.startswith("impl "):
+            header, rest = rest[5:].strip(), ""
+            if header.endswith("]") and "[" in header:
+                header, rest = header[: header.rindex("[")], header[header.rindex("[") :]
+            at = _outside(header, "for")
+            first, second = (header[at + 5 :], header[:at]) if at >= 0 else (header, None)
+        else:
+            raise PatternError(f"{text!r} has no type")
+        if rest.startswith("["):
+            end = _balanced(rest, "[", "]")
+            selector, rest = Selector.parse(rest[:end]), rest[end:]
+        if rest:
+            if not rest.startswith("::") or not IDENT.fullmatch(rest[2:]):
+                raise PatternError(f"{text!r}: {rest!r} is no name of an item")
+            item = rest[2:]
+
+        def part(x: str) -> tuple[Path, str | None]:
+            x = x.strip()
+            if "<" in x and x.endswith(">"):
+                at = x.index("<")
+                return Path.parse(x[:at], ignore_case), normal_arguments(x[at:])
+            return Path.parse(x, ignore_case), None
+
+        own, trait = part(first), part(second) if second is not None else (None, None)
+        return cls(own[0], trait[0], item, own[1], trait[1], selector, ignore_case)
+
+    def matches(self, kind: Column, name: Column, owner: Column, self_text: Column, trait_text: Column, self_arguments: Column | None = None, trait_arguments: Column | None = None) -> Column:
+        """Over items of blocks and blocks (kind impl): owner is the flat path of the block's type, or null where it isn't known and the text counts.
+
+        The selector is left to selected(), as it depends on the other blocks.
+        """
+        own_args = arguments(self_text) if self_arguments is None else self_arguments
+        trait_args = arguments(trait_text) if trait_arguments is None else trait_arguments
+        test = F.when(owner.isNotNull(), owner.rlike(self.self_ty.regex())).otherwise(written_match(self.self_ty, self_text))
+        if self.self_arguments is not None:
+            test = test & own_args.eqNullSafe(F.lit(self.self_arguments))
+        if self.trait is None:
+            test = test & trait_text.isNull()
+        else:
+            test = test & trait_text.isNotNull() & written_match(self.trait, trait_text)
+            if self.trait_arguments is not None:
+                test = test & trait_args.eqNullSafe(F.lit(self.trait_arguments))
+        if self.item is None:
+            test = test & (kind == "impl")
+        else:
+            test = test & (kind != "impl") & Ident(self.item, self.ignore_case).matches(name)
+        return F.coalesce(test & self_text.isNotNull(), F.lit(False))
+
+
+def written_match(pattern: Path, text: Column) -> Column:
+    """A path as written may be short of its beginning, as imports allow; so may the pattern."""
+    names, test = written(text), None
+    for skip in range(max(1, len(pattern.segments))):
+        rest = Path(pattern.segments[skip:], "crate-name" if skip else "", "", pattern.ignore_case)
+        one = names.rlike(rest.regex())
+        test = one if test is None else test | one
+    return test
+
+
+def parse(text: str, ignore_case: bool = False) -> Path | Qualified:
+    """A pattern of either form."""
+    return Qualified.parse(text, ignore_case) if text.strip().startswith(("<", "impl ")) else Path.parse(text, ignore_case)
+
+
 def any_of(patterns: list[Path], path: Column, **more: Column) -> Column:
     """A row that several patterns match is one row; no patterns match all."""
     test = F.lit(not patterns)

@@ -30,3 +30,29 @@ def name_key(name: Column) -> list[Column]:
 def path_parts(path: Column) -> Column:
     """A key that orders file paths part by part, so that a/b.rs comes before a.rs."""
     return F.split(path, "/")
+
+
+def rustfmt_version_key(name: Column) -> list[Column]:
+    """The order that formatters give imports: underscores first, digit runs by value, all else by UTF-8 bytes; of equal ones more leading zeros first.
+
+    Runs of digits, single underscores and runs of all else are compared one by one; where the name ends comes before all.
+    """
+    chunks = F.regexp_extract_all(F.regexp_replace(name, "^r#", ""), F.lit(r"([0-9]+|_|[^0-9_]+)"), F.lit(1))
+    stripped = lambda x: F.ltrim(x, F.lit("0"))
+    digits = lambda x: x.rlike("^[0-9]")
+    # Digits against letters compare by bytes, and 0-9 come before all letters of names.
+    code = lambda x: F.when(x == "_", F.lit("1")).when(digits(x), F.concat(F.lit("2"), F.lpad(F.length(stripped(x)).cast("string"), 4, "0"), stripped(x))).otherwise(F.concat(F.lit("3"), x, F.lit("\x01")))
+    zeros = F.transform(F.filter(chunks, digits), lambda x: -(F.length(x) - F.length(stripped(x))))
+    return [F.array_join(F.transform(chunks, code), ""), zeros]
+
+
+#: Fixed ranks of the segments of an import: self, super, crate, a name, a glob, a list.
+SEGMENTS = ("self", "super", "crate", "", "*", "{")
+
+
+def use_key(path: Column, alias: Column) -> list[Column]:
+    """What an import's path (`a::b`, `self::c`, `d::*`, `e::{...}`) is ordered by: segment by segment its rank, then its name; unrenamed ones first."""
+    parts = F.split(path, "::")
+    rank = lambda x: F.when(x == "self", 0).when(x == "super", 1).when(x == "crate", 2).when(x == "*", 4).when(x.startswith("{"), 5).otherwise(3)
+    named = F.transform(parts, lambda x: F.struct(rank(x).alias("rank"), F.when(rank(x) == 3, rustfmt_version_key(x)[0]).otherwise("").alias("name")))
+    return [named, F.when(alias.isNull(), 0).otherwise(1), F.coalesce(rustfmt_version_key(alias)[0], F.lit(""))]

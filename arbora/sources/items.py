@@ -14,6 +14,8 @@ KINDS = (
 )
 IN_IMPL = {"fn": "assoc-fn", "const": "assoc-const", "type": "assoc-type", "macro-call": "assoc-macro"}
 IN_EXTERN = {"fn": "foreign-fn", "static": "foreign-static", "type": "foreign-type", "macro-call": "foreign-macro"}
+#: Words that say what an item is, where the rest of it can't be read.
+LEADING = {"fn", "struct", "enum", "union", "trait", "const", "static", "type", "mod"}
 QUALIFIERS = {"default", "async", "unsafe", "safe", "const", "extern", "auto", "gen"}
 
 
@@ -48,11 +50,18 @@ class Item:
     negative: bool = False
     braced: bool = False
     receiver: str | None = None
+    attrs: list[str] = field(default_factory=list)
+    head: int = 0
+    vis_end: int = 0
+    entry_macro: str | None = None
+    loads: str | None = None
+    unread: bool = False
 
 
 class Parser:
     def __init__(self, raw: bytes):
         self.raw = raw
+        self.problems: list[tuple[int, str]] = []
         self.tokens = tokens(raw)
         self.pairs = matched(self.tokens)
         self.items: list[Item] = []
@@ -86,7 +95,10 @@ class Parser:
 
     def attribute(self, item: Item, i: int, j: int) -> None:
         """The attribute whose path starts at i and ends before j."""
-        name = self.at(i)
+        name, k = self.at(i), i + 1
+        while k + 1 < j and self.at(k) == "::":
+            k += 2
+        item.attrs.append("".join(t.text for t in self.tokens[i:k]))
         body = self.source(i + 2, self.pairs[i + 1]) if i + 1 in self.pairs else ""
         value = self.tokens[i + 2] if self.at(i + 1) == "=" and i + 2 < j else None
         if name == "unsafe" and i + 1 in self.pairs:
@@ -165,7 +177,33 @@ class Parser:
             if self.at(i) == ";":
                 i += 1
                 continue
-            i = self.item(i, end, parent, context)
+            before = len(self.items)
+            try:
+                i = self.item(i, end, parent, context)
+            except (SyntaxProblem, IndexError) as problem:
+                if before == len(self.items) and i + 1 >= end:
+                    raise
+                del self.items[before:]
+                self.problems.append((self.tokens[i].start, str(problem)))
+                i = self.unread(i, end, parent, context)
+
+    def unread(self, i: int, end: int, parent: int | None, context: str) -> int:
+        """An item that can't be read: its kind and name as the first words say, its end at the next ; or } outside of brackets."""
+        item = Item("other", None, parent, self.tokens[i].start, 0, unread=True)
+        i = self.attributes(item, i, end)
+        item.head = item.vis_end = self.tokens[min(i, end - 1)].start
+        i = self.visibility(item, i)
+        stop = i
+        while stop < end and self.at(stop) not in (";", "{"):
+            stop = self.pairs.get(stop, stop) + 1 if self.at(stop) in ("(", "[") else stop + 1
+        word = next((k for k in range(i, min(stop, end)) if self.at(k) in LEADING), None)
+        if word is not None and word + 1 < end and self.tokens[word + 1].kind == "ident":
+            kinds = IN_IMPL if context == "impl" else IN_EXTERN if context == "extern" else {}
+            item.kind = kinds.get(self.at(word), self.at(word))
+            self.add(item, self.tokens[word + 1])
+        else:
+            self.add(item)
+        return self.finish(item, self.pairs.get(stop, stop) if stop < end else end - 1)
 
     def add(self, item: Item, name: Token | None = None) -> int:
         if name is not None:
@@ -182,7 +220,10 @@ class Parser:
         i = self.attributes(item, i, end)
         if i >= end:
             raise SyntaxProblem("an attribute stands before nothing", item.start)
+        item.head = item.vis_end = self.tokens[i].start
         i = self.visibility(item, i)
+        if item.vis:
+            item.vis_end = self.tokens[i - 1].end
         begin = i
         while self.at(i) in QUALIFIERS and not (self.at(i) == "const" and self.at(i + 1) not in ("fn", "unsafe", "extern", "async", "gen", "impl", "trait")):
             if self.at(i) == "extern" and (self.at(i + 1) in ("crate", "{") or (self.tokens[i + 1].kind == "string" and self.at(i + 2) == "{")):
@@ -301,6 +342,7 @@ class Parser:
             stop = self.until(i, end, ";")
             found.append((item, self.tokens[i + 1]))
             item.end = self.tokens[min(stop, end - 1)].end
+            item.entry_macro = self.items[parent].segments[-1] if self.items[parent].segments else None
             i = stop + 1
         for item, name in found:
             self.add(item, name)
@@ -425,7 +467,13 @@ class Parser:
                 self.fields(i + 1, own)
 
 
-def parse(raw: bytes) -> tuple[list[Item], list[str]]:
-    """The items of a file, parents before children and else in the order of the text, and the file's own cfg predicates."""
+def parse(raw: bytes, problems: list[tuple[int, str]] | None = None) -> tuple[list[Item], list[str]]:
+    """The items of a file, parents before children and else in the order of the text, and the file's own cfg predicates.
+
+    problems, if given, gets the place and the reason of each item that couldn't be read; such an item is there by its first words.
+    """
     parser = Parser(raw)
-    return parser.parse(), parser.inner
+    found = parser.parse()
+    if problems is not None:
+        problems += parser.problems
+    return found, parser.inner

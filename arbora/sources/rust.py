@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import bisect
 import posixpath
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.globs import SEP
+from ..functions import cfg
+from ..functions.globs import SEP, normal_arguments, written
 from ..operators.rows import best
 from ..storage import cut
 from .items import Item, parse
@@ -17,10 +20,13 @@ from .lexer import SyntaxProblem
 from .references import references
 from .resolve import Crate
 
+NEWLINE = b"\n"
 SCHEMA = (
     "row string, crate_id int, item_idx int, parent_idx int, module_idx int, kind string, name string, file string, start long, end long, name_start long, name_end long, "
     "vis string, inline boolean, mutable boolean, macro_use boolean, cfg string, doc string, doc_hidden boolean, macro_export boolean, test boolean, segments array<string>, alias string, is_glob boolean, self_ty string, trait_text string, "
-    "self_idx int, path string, flat_path string, receiver string, space string, target_idx int, external string, scope_idx int, message string, line int, column int, certain boolean"
+    "self_idx int, path string, flat_path string, receiver string, space string, target_idx int, external string, scope_idx int, message string, line int, column int, certain boolean, "
+    "owner_path string, impl_idx int, impl_self string, impl_trait string, self_args string, trait_args string, attrs array<string>, start_line int, start_column int, end_line int, end_column int, "
+    "head long, vis_end long, effective_cfg string, thread_local boolean, entry_macro string, loads string, crate string"
 )
 COLUMNS = [c.split()[0] for c in SCHEMA.split(", ")]
 
@@ -40,7 +46,9 @@ def load(root: str, read: Callable[[str], bytes | None]) -> tuple[list[tuple[Ite
             notes.append((path, "the file is missing"))
             return
         try:
-            found, inner = parse(raw)
+            unread: list[tuple[int, str]] = []
+            found, inner = parse(raw, unread)
+            notes.extend((path, f"line {raw[:at].count(NEWLINE) + 1}: {why}") for at, why in unread)
         except (SyntaxProblem, IndexError, KeyError, RecursionError) as e:
             line = raw[: getattr(e, "offset", 0)].count(b"\n") + 1
             notes.append((path, f"line {line}: {e}"))
@@ -75,22 +83,49 @@ def load(root: str, read: Callable[[str], bytes | None]) -> tuple[list[tuple[Ite
             if target in (*above, path):
                 notes.append((path, f"module {x.name}: {target} is part of itself"))
                 continue
+            x.loads = target
             file(target, place[k], inside, (*above, path))
 
     file(root, 0, posixpath.dirname(root), ())
     return out, notes
 
 
+def _arguments(text: str | None) -> str | None:
+    """The generic arguments of a written type's last segment, as they are compared."""
+    found = re.fullmatch(r"[^<]*\w\s*(<.*>)\s*", text or "", re.S)
+    return normal_arguments(found[1]) if found else None
+
+
 def _rows(crate_id: int, name: str, root: str, edition: int, dependencies: list[str], files: dict[str, bytes]) -> Iterator[dict]:
     loaded, notes = load(root, files.get)
     crate = Crate(name, [x for x, _ in loaded], edition, tuple(dependencies))
+    places: dict[str, list[int]] = {}
+
+    def place(file: str, at: int) -> tuple[int, int]:
+        """Line and column, in characters, from 1."""
+        raw = files.get(file, b"")
+        if file not in places:
+            places[file] = [0, *(m.end() for m in re.finditer(NEWLINE, raw))]
+        line = bisect.bisect_right(places[file], at)
+        return line, len(raw[places[file][line - 1] : at].decode(errors="replace")) + 1
+
+    effective: list[list[str]] = []
     for i, (x, file) in enumerate(loaded):
         flat, shown = crate.paths(i)
+        effective.append([*(effective[x.parent] if x.parent is not None else ()), *x.cfg])
+        block = i if x.kind == "impl" else x.parent if x.parent is not None and loaded[x.parent][0].kind == "impl" else None
+        head = loaded[block][0] if block is not None else None
+        owner = crate.self_type.get(block) if block is not None else None
+        predicate = cfg.effective(*effective[i]).text() if effective[i] else None
+        (start_line, start_column), (end_line, end_column) = place(file, x.start), place(file, x.end)
+        local = x.parent is not None and x.kind == "static" and loaded[x.parent][0].kind == "macro-call"
         yield {
             "row": "item", "crate_id": crate_id, "item_idx": i, "parent_idx": x.parent, "module_idx": crate.module[i], "kind": x.kind, "name": name if i == 0 else x.name, "file": file, "start": x.start, "end": x.end,
             "name_start": x.name_start, "name_end": x.name_end, "vis": x.vis, "inline": x.inline, "mutable": x.mutable, "macro_use": x.macro_use, "cfg": (x.cfg[0] if len(x.cfg) == 1 else f"all({', '.join(x.cfg)})") if x.cfg else None, "doc": x.doc, "doc_hidden": x.doc_hidden, "macro_export": x.macro_export,
             "test": x.test, "segments": x.segments, "alias": x.alias, "is_glob": x.glob, "self_ty": x.self_ty, "trait_text": x.trait_text, "self_idx": crate.self_type.get(i), "path": shown, "flat_path": SEP.join(flat), "receiver": x.receiver,
-            "scope_idx": crate.scope(i),
+            "scope_idx": crate.scope(i), "owner_path": SEP.join(crate.paths(owner)[0]) if owner is not None else None, "impl_idx": block, "impl_self": head and head.self_ty, "impl_trait": head and head.trait_text,
+            "self_args": head and _arguments(head.self_ty), "trait_args": head and _arguments(head.trait_text), "attrs": x.attrs, "start_line": start_line, "start_column": start_column, "end_line": end_line, "end_column": end_column,
+            "head": x.head, "vis_end": x.vis_end, "effective_cfg": predicate, "thread_local": bool(local and x.entry_macro == "thread_local"), "entry_macro": x.entry_macro if local and x.entry_macro != "thread_local" else None, "loads": x.loads, "crate": name,
         }
         for space, res in crate.targets.get(i, ()):
             yield {"row": "target", "crate_id": crate_id, "item_idx": i, "space": space, "target_idx": res.item, "external": "::".join(res.external) or None}
@@ -115,7 +150,7 @@ def workspace(files: DataFrame, crates: DataFrame) -> dict[str, DataFrame]:
         texts = {p: t.encode() for p, t in zip(own["path"], own["text"])}
         rows = [r for c in crate.to_dict("records") for r in _rows(int(c["crate_id"]), c["name"], c["root"], int(c["edition"]), list(c["dependencies"]), texts)]
         frame = pd.DataFrame(rows, columns=COLUMNS)
-        numbers = ("item_idx", "parent_idx", "module_idx", "self_idx", "target_idx", "scope_idx", "start", "end", "name_start", "name_end", "line", "column")
+        numbers = ("item_idx", "parent_idx", "module_idx", "self_idx", "target_idx", "scope_idx", "start", "end", "name_start", "name_end", "line", "column", "impl_idx", "start_line", "start_column", "end_line", "end_column", "head", "vis_end")
         return frame.assign(**{c: frame[c].astype("Int64") if c in numbers else frame[c].astype(object).where(frame[c].notna(), None) for c in COLUMNS})
 
     found = cut(crates.groupBy("crate_id").cogroup(files.groupBy("crate_id")).applyInPandas(run, SCHEMA))
@@ -138,7 +173,8 @@ def unresolved_imports(tables: dict[str, DataFrame]) -> DataFrame:
 def named(tables: dict[str, DataFrame], path: list[str]) -> DataFrame:
     """Items that a path of names leads to, as bound in modules, re-exports included: the last name in what the others lead to."""
     items, bindings = tables["items"], tables["bindings"]
-    owners = items.filter((F.col("kind") == "mod") & F.col("flat_path").endswith(SEP.join(path[:-1]))) if path[:-1] else items.filter("item_idx = 0")
+    above = SEP.join(path[:-1])
+    owners = items.filter((F.col("kind") == "mod") & ((F.col("flat_path") == above) | F.col("flat_path").endswith(SEP + above))) if above else items.filter("item_idx = 0")
     hit = owners.select("crate_id", F.col("item_idx").alias("module_idx")).join(bindings.filter(F.col("name") == path[-1]), ["crate_id", "module_idx"])
     return items.join(hit.select("crate_id", F.col("target_idx").alias("item_idx")).distinct(), ["crate_id", "item_idx"], "left_semi")
 
@@ -166,3 +202,78 @@ def collisions(tables: dict[str, DataFrame], items: DataFrame, name: str) -> Dat
     bindings = tables["bindings"]
     own = bindings.join(items.select("crate_id", F.col("item_idx").alias("target_idx")), ["crate_id", "target_idx"], "left_semi").select("crate_id", "module_idx", "space").distinct()
     return bindings.filter(F.col("name") == name).join(own, ["crate_id", "module_idx", "space"], "left_semi")
+
+
+def judged(items: DataFrame, context: cfg.Context, selected: tuple[str, ...] = ()) -> DataFrame:
+    """items with active, whether their own and their ancestors' cfg predicates hold (null: unknown), and selected, whether their crate is asked for.
+
+    Predicates that differ are few, and each is evaluated once.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"effective_cfg": batch["effective_cfg"], "active": pd.array([cfg.Cfg.parse(t).fold(context.fact) for t in batch["effective_cfg"]], "boolean")})
+
+    known = items.filter("effective_cfg IS NOT NULL").select("effective_cfg").distinct().mapInPandas(run, "effective_cfg string, active boolean")
+    out = items.join(known, "effective_cfg", "left").withColumn("active", F.when(F.col("effective_cfg").isNull(), True).otherwise(F.col("active")))
+    return out.withColumn("selected", F.col("crate").isin(*selected) if selected else F.lit(True))
+
+
+def linked(tables: dict[str, DataFrame], rounds: int = 16) -> DataFrame:
+    """(crate_id, item_idx, space, to_crate, to_item): imports of one crate that lead into another one, re-exports of re-exports included.
+
+    A path into another crate is that crate's name and names of modules; it is met with what items and bindings there are called, round by round, as
+    long as what it meets leads on to another crate.
+    """
+    items, bindings = tables["items"], tables["bindings"]
+    module = items.select("crate_id", F.col("item_idx").alias("module_idx"), F.col("flat_path").alias("module_path"))
+    bound = bindings.filter("scope_idx IS NULL").join(module, ["crate_id", "module_idx"]).select(F.concat("module_path", F.lit(SEP), "name").alias("key"), F.col("crate_id").alias("to_crate"), F.col("target_idx").alias("to_item"), F.col("external").alias("leads"), F.col("space").alias("to_space"))
+    roots = items.filter("item_idx = 0").select(F.col("flat_path").alias("key"), F.col("crate_id").alias("to_crate"), F.col("item_idx").alias("to_item"), F.lit(None).cast("string").alias("leads"), F.lit("type").alias("to_space"))
+    names = cut(bound.unionByName(roots).distinct())
+    left = cut(tables["targets"].filter("external IS NOT NULL").select("crate_id", "item_idx", "space", F.replace("external", F.lit("::"), F.lit(SEP)).alias("key")).distinct())
+    out, seen = None, left
+    for _ in range(rounds):
+        met = left.join(names, "key").filter("space = to_space")
+        here = cut(met.filter("to_item IS NOT NULL").select("crate_id", "item_idx", "space", "to_crate", "to_item").distinct())
+        out = here if out is None else out.unionByName(here)
+        further = met.filter("leads IS NOT NULL").select("crate_id", "item_idx", "space", F.replace("leads", F.lit("::"), F.lit(SEP)).alias("key")).distinct()
+        left = cut(further.join(seen, ["crate_id", "item_idx", "space", "key"], "left_anti"))
+        if left.isEmpty():
+            break
+        seen = cut(seen.unionByName(left))
+    return out.distinct()
+
+
+def twins(items: DataFrame) -> DataFrame:
+    """(crate_id, item_idx, twin_crate, twin_idx): the same text loaded by several crates, item by item."""
+    place = ["file", "name_start", "name_end", "kind"]
+    other = items.select(*place, F.col("crate_id").alias("twin_crate"), F.col("item_idx").alias("twin_idx"))
+    return items.join(other, place).filter("crate_id <> twin_crate").select("crate_id", "item_idx", "twin_crate", "twin_idx")
+
+
+def counterparts(tables: dict[str, DataFrame]) -> DataFrame:
+    """(crate_id, item_idx, counterpart_idx): a trait's items and those of its impl blocks with the same name and kind."""
+    items = tables["items"]
+    traits = items.filter("kind = 'trait'").select("crate_id", F.col("item_idx").alias("trait_idx"), F.col("name").alias("trait"))
+    blocks = items.filter("kind = 'impl' AND trait_text IS NOT NULL").withColumn("trait", F.element_at(F.split(written(F.col("trait_text")), SEP), -1))
+    pairs = blocks.join(traits, ["crate_id", "trait"]).select("crate_id", F.col("item_idx").alias("block_idx"), "trait_idx")
+    own = items.filter("name IS NOT NULL").select("crate_id", "parent_idx", "item_idx", "name", "kind")
+    inside = own.select("crate_id", F.col("parent_idx").alias("block_idx"), F.col("item_idx").alias("counterpart_idx"), "name", "kind")
+    wanted = own.withColumnRenamed("parent_idx", "trait_idx")
+    return wanted.join(pairs, ["crate_id", "trait_idx"]).join(inside, ["crate_id", "block_idx", "name", "kind"]).select("crate_id", "item_idx", "counterpart_idx")
+
+
+def preludes(crates: DataFrame, items: DataFrame) -> DataFrame:
+    """(crate_id, name, macros): the crates that paths may begin with in each crate, and the macros that those export."""
+    known = F.array_union(F.col("dependencies"), F.array(F.lit("std"), F.lit("core"), F.lit("alloc")))
+    seen = crates.select("crate_id", F.explode(known).alias("name"))
+    exported = items.filter("kind = 'macro-rules' AND macro_export").groupBy(F.col("crate").alias("name")).agg(F.sort_array(F.collect_set(F.col("flat_path"))).alias("paths"))
+    last = F.transform(F.col("paths"), lambda p: F.element_at(F.split(p, SEP), -1))
+    return seen.join(exported, "name", "left").select("crate_id", "name", F.coalesce(last, F.array().cast("array<string>")).alias("macros"))
+
+
+def moves(items: DataFrame, name: str) -> DataFrame:
+    """(path, target): files that modules are loaded from, and where they go when the modules get another name; not those that #[path] places."""
+    loaded = items.filter("kind = 'mod' AND NOT inline AND loads IS NOT NULL AND NOT array_contains(attrs, 'path')")
+    whole = F.when(F.col("loads").endswith("/mod.rs"), F.regexp_replace("loads", r"[^/]+/mod\.rs$", f"{name}/mod.rs")).otherwise(F.regexp_replace("loads", r"[^/]+\.rs$", f"{name}.rs"))
+    return loaded.select(F.col("loads").alias("path"), whole.alias("target")).distinct()
