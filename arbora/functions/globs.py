@@ -277,7 +277,7 @@ class Qualified:
         if self.item is None:
             test = test & (kind == "impl")
         else:
-            test = test & (kind != "impl") & Ident(self.item, self.ignore_case).matches(name)
+            test = test & kind.startswith("assoc-") & Ident(self.item, self.ignore_case).matches(name)
         return F.coalesce(test & self_text.isNotNull(), F.lit(False))
 
 

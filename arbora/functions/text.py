@@ -72,6 +72,20 @@ def context_line(line: Column, column: Column) -> Column:
     return F.when(size <= CONTEXT, trimmed).otherwise(cut)
 
 
+def position(text: Column, offset: Column) -> tuple[Column, Column]:
+    """Line and column, from 1, of the character at an offset."""
+    before = F.substring(text, F.lit(1), offset.cast("int"))
+    return F.regexp_count(before, F.lit("\n")) + 1, F.char_length(F.substring_index(before, "\n", -1)) + 1
+
+
+def offset(text: Column, line: Column, column: Column) -> Column:
+    """The characters before a line and column; a column behind the line's end is the end, a line behind the text the text's end."""
+    parts = F.split(text, "\n", -1)
+    before = F.aggregate(F.slice(parts, F.lit(1), F.greatest(F.lit(0), line - 1)), F.lit(0).cast("long"), lambda acc, x: acc + F.char_length(x) + 1)
+    whole = F.coalesce(F.get(parts, line - 1), F.lit(""))
+    return F.least(F.char_length(text).cast("long"), before + F.least(column - 1, F.char_length(whole)))
+
+
 def pairs(x: Column) -> Column:
     """All pairs of neighbouring characters, in their order."""
     return F.when(F.char_length(x) < 2, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), F.char_length(x) - 1), lambda i: F.substring(x, i, F.lit(2))))

@@ -93,3 +93,34 @@ def dead_names(imports: DataFrame, removed: DataFrame) -> DataFrame:
         if grown.count() == dead.count():
             return dead
         dead = grown
+
+
+def variants(imports: DataFrame, targets: DataFrame, asked: DataFrame) -> DataFrame:
+    """(item): asked items, all that an import of one of them leads to as well, and so on: what cfg variants of one name stand for.
+
+    imports (import, item): what each import leads to; targets (item): items that may be taken in.
+    """
+    known = cut(asked.select("item").distinct())
+    edge = known
+    while True:
+        through = imports.join(edge, "item", "left_semi").select("import").distinct()
+        fresh = imports.join(through, "import", "left_semi").select("item").distinct().join(targets, "item", "left_semi").join(known, "item", "left_anti")
+        edge = cut(fresh)
+        if edge.isEmpty():
+            return known
+        known = cut(known.unionByName(edge))
+
+
+def cycles(edges: DataFrame) -> DataFrame:
+    """(node, cycle, innermost): nodes of edges (a, b) that reach themselves, the smallest node of their cycle, and whether nothing leads out of it.
+
+    For few edges, as those of imports that are stuck: what each node reaches is listed.
+    """
+    nodes = edges.select("a").distinct()
+    reached = cut(reachable(edges, nodes.select(F.col("a").alias("seed"), F.col("a").alias("node"))).select("seed", "node"))
+    back = reached.select(F.col("node").alias("seed"), F.col("seed").alias("node"))
+    mutual = reached.join(back, ["seed", "node"])
+    loops = edges.filter("a = b").select(F.col("a").alias("seed")).distinct().withColumn("loop", F.lit(True))
+    sizes = mutual.groupBy("seed").agg(F.min("node").alias("cycle"), F.count("*").alias("n")).join(loops, "seed", "left").filter("n > 1 OR loop")
+    far = reached.groupBy("seed").agg(F.count("*").alias("far"))
+    return sizes.join(far, "seed").select(F.col("seed").alias("node"), "cycle", (F.col("far") == F.col("n")).alias("innermost"))

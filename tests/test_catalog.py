@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__
-from arbora.plans import catalog
+from arbora.plans import catalog, more  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

@@ -200,3 +200,63 @@ def test_references_and_rename(spark):
     made = {r["path"]: r["edited"] for r in edits.apply(rows.select("path", "text"), rust.rename_plan(tables, pick("c::shapes::make"), "form")).collect()}
     assert "{Disc, form as build}" in made["lib.rs"] and "build(); shapes::form(); d.area(); let make = 1; show(make)" in made["lib.rs"]
     assert rust.collisions(tables, pick("c::shapes::Disc"), "new").count() == 0 and rust.collisions(tables, pick("c::shapes::make"), "Disc").count() > 0
+
+
+def found(tables, *patterns, **more):
+    from arbora.functions import globs
+
+    return {r["path"] for r in find.find(tables["items"], [globs.parse(p) for p in patterns], **more).collect()}
+
+
+def test_qualified_patterns(tables):
+    assert found(tables, "<Disc as Figure>::area") == {"<demo::geometry::Disc as Figure>::area"}
+    assert found(tables, "<Disc>::*") == {"demo::geometry::Disc::new"}
+    assert found(tables, "impl Figure for geometry::Disc") == {"<demo::geometry::Disc as Figure>"}
+    assert found(tables, "impl From<T> for Pair") == {"<demo::geometry::Pair as From<T>>"} and found(tables, "impl From<u8> for Pair") == set()
+    assert found(tables, "<* as std::convert::From>::from") == {"<demo::geometry::Pair as From<T>>::from"}
+    assert found(tables, "impl Disc[new]") == {"demo::geometry::Disc"} and found(tables, "impl Disc[old]") == set()
+    assert found(tables, "<Disc>[1]::new") == {"demo::geometry::Disc::new"} and found(tables, "<Disc>[2]::new") == set()
+
+
+def test_active_items(tables):
+    from arbora.functions.cfg import Context
+
+    judged = rust.judged(tables["items"], Context({"unix": True}, {}, frozenset({"unix", "windows"})), ("demo",))
+    state = {(r["name"], r["cfg"]): r["active"] for r in judged.filter("name = 'system'").collect()}
+    assert state == {("system", "unix"): True, ("system", "not(unix)"): False}
+    assert find.find(judged, [Path.parse("crate::system")], active_only=True).count() == 1
+    assert find.find(judged, [Path.parse("crate::system")]).count() == 2
+
+
+def test_match_columns(tables):
+    hits = find.find(tables["items"], [Path.parse("geometry::Disc"), Path.parse("CELL")])
+    shown = {r["path"]: r for r in find.matches(hits, root="src").collect()}
+    disc = shown["demo::geometry::Disc"]
+    assert (disc["file"], disc["crate"], disc["kind"], disc["visibility"], tuple(disc["start"]), tuple(disc["end"])) == ("geometry.rs", "demo", "struct", "pub", (2, 1), (2, len("pub struct Disc { pub radius: f64, id: u32 }") + 1))
+    assert not disc["thread_local"] and shown["demo::CELL"]["thread_local"]
+
+
+def test_items_that_cannot_be_read_stay_by_their_first_words(spark):
+    files = spark.createDataFrame([(0, "lib.rs", "fn a() {}\npub wibble fn odd [x] {}\nstruct B;\n")], "crate_id int, path string, text string")
+    crates = spark.createDataFrame([(0, "demo", "lib.rs", 2021, [])], "crate_id int, name string, root string, edition int, dependencies array<string>")
+    made = rust.workspace(files, crates)
+    assert {(r["name"], r["kind"]) for r in made["items"].filter("item_idx > 0").collect()} == {("a", "fn"), ("odd", "fn"), ("B", "struct")}
+    assert made["diagnostics"].count() == 1
+
+
+def test_links_between_crates(spark):
+    files = [(0, "a/lib.rs", "pub mod m { pub struct Inner; pub use crate::m::Inner as Other; }\npub use m::Inner;\n#[macro_export]\nmacro_rules! mac { () => {} }\n"), (1, "b/lib.rs", "pub use one::Inner as Kept;\npub use one::m;\nuse one::m::Other;\nuse one::nothing;\n"), (2, "c/lib.rs", "use two::Kept;\nuse two::m::Inner;\n")]
+    crates = [(0, "one", "a/lib.rs", 2021, []), (1, "two", "b/lib.rs", 2021, ["one"]), (2, "three", "c/lib.rs", 2021, ["two"])]
+    made = rust.workspace(spark.createDataFrame(files, "crate_id int, path string, text string"), spark.createDataFrame(crates, "crate_id int, name string, root string, edition int, dependencies array<string>"))
+    items = {(r["crate_id"], r["item_idx"]): r["path"] for r in made["items"].collect()}
+    links = {(items[r["crate_id"], r["item_idx"]], items[r["to_crate"], r["to_item"]]) for r in rust.linked(made).filter("space = 'type'").collect()}
+    assert {("use two::Kept", "one::m::Inner"), ("use two::m", "one::m"), ("use two::Other", "one::m::Inner"), ("use three::Kept", "one::m::Inner")} <= links
+    assert not any("nothing" in a for a, _ in links)
+    prelude = {(r["crate_id"], r["name"]): r["macros"] for r in rust.preludes(spark.createDataFrame(crates, "crate_id int, name string, root string, edition int, dependencies array<string>"), made["items"]).collect()}
+    assert prelude[1, "one"] == ["mac"] and (1, "std") in prelude and (0, "one") not in prelude
+
+
+def test_module_files_move_with_a_rename(tables):
+    geometry = tables["items"].filter("name = 'geometry' AND kind = 'mod'")
+    assert [tuple(r) for r in rust.moves(geometry, "shapes").collect()] == [("src/geometry.rs", "src/shapes.rs")]
+    assert rust.moves(tables["items"].filter("name = 'moved'"), "x").count() == 0
