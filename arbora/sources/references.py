@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import bisect
+import re
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -15,9 +16,17 @@ from .resolve import MACRO, TYPE, VALUE, Crate
 WORDS = frozenset("as async await break const continue dyn else enum extern false fn for if impl in let loop match mod move mut pub ref return static struct trait true type union unsafe use where while Self".split())
 
 
+#: Macros whose strings name values in braces.
+FORMATS = frozenset("format print println eprint eprintln write writeln panic assert assert_eq assert_ne debug_assert debug_assert_eq debug_assert_ne unreachable todo unimplemented format_args".split())
+#: A line that begins or ends a code block; a link: [text], [text](to), [text][by], and [text]: on; and the path within one.
+FENCE = re.compile(rb"\s*(?://[/!]|\*)?\s*(?:```|~~~)")
+LINK = re.compile(rb"(?<!`)\[(?P<text>[^\[\]]+)\](?:\((?P<to>[^()\s]+(?:\(\))?)[^()]*\)|\[(?P<by>[^\[\]]+)\]|:\s+(?P<on>\S+))?")
+TARGET = re.compile(rb"`?(?:(?P<kind>\w+)@)?(?P<path>(?:::)?\w+(?:::\w+)*)(?P<bang>!)?(?P<call>\(\))?(?:#[\w.-]+)?`?")
+
+
 @dataclass(frozen=True)
 class Reference:
-    """kind: definition, import, path, macro, or member (behind a dot). certain: whether nothing else can be meant. written: the name that stands
+    """kind: definition, import, path, macro, doc (a link), format (in a format string), or member (behind a dot). certain: whether nothing else can be meant. written: the name that stands
     there, which an import may have changed."""
 
     item: int
@@ -38,10 +47,11 @@ class _File:
         self.tokens, self.own = tokens(raw), own
         self.pairs = matched(self.tokens)
         self.starts = [0] + [k + 1 for k, b in enumerate(raw) if b == 10]
-        self.uses = [(x.start, x.end) for _, x in own if x.kind == "use"]
+        self.uses = _union([(x.start, x.end) for _, x in own if x.kind == "use"])
+        self.bounds, self.owners = _innermost(own)
         self.named = {x.name_start for _, x in own if x.name_start is not None and x.kind not in ("import", "macro-call")}
         self.locals = self._locals()
-        self.quoted = self._quoted()
+        self.quoted = _union(self._quoted())
 
     def _quoted(self) -> list[tuple[int, int]]:
         """The insides of macro invocations, whose tokens may become anything."""
@@ -64,7 +74,16 @@ class _File:
 
     def inside(self, at: int) -> int:
         """The innermost item around a place."""
-        return max((k for k, x in self.own if x.start <= at < x.end), key=lambda k: (self.crate.items[k].start, k), default=0)
+        return self.owners[bisect.bisect_right(self.bounds, at) - 1]
+
+    def shadowed(self, name: str, inside: int) -> bool:
+        """Whether a function around may bind the name."""
+        at: int | None = inside
+        while at is not None:
+            if name in self.locals.get(at, ()):
+                return True
+            at = self.crate.items[at].parent
+        return False
 
     def module(self, item: int) -> int:
         while self.crate.items[item].kind != "mod":
@@ -80,11 +99,11 @@ class _File:
         i = 0
         while i < len(self.tokens):
             t = self.tokens[i]
-            if t.kind != "ident" or (unraw(t.text) in WORDS and not t.text.startswith("r#")) or any(s <= t.start < e for s, e in self.uses):
+            if t.kind != "ident" or (unraw(t.text) in WORDS and not t.text.startswith("r#")) or _within(self.uses, t.start):
                 i += 1
                 continue
             inside = self.inside(t.start)
-            quoted = any(s <= t.start < e for s, e in self.quoted)
+            quoted = _within(self.quoted, t.start)
             if i and self.tokens[i - 1].text == ".":
                 for m in members.get(unraw(t.text), ()):
                     yield self.at(m, t, "member", False, inside)
@@ -100,7 +119,7 @@ class _File:
                 k += 2
             module = self.module(inside)
             names = [unraw(p.text) for p in path]
-            shadowed = len(path) == 1 and any(names[0] in found for f, found in self.locals.items() if self.crate.items[f].start <= t.start < self.crate.items[f].end)
+            shadowed = len(path) == 1 and self.shadowed(names[0], inside)
             call = k < len(self.tokens) and self.tokens[k].text == "!" and k + 1 < len(self.tokens) and self.tokens[k + 1].text in ("(", "[", "{")
             seen = set()
             for n, part in enumerate(path):
@@ -113,6 +132,111 @@ class _File:
             i = k
 
 
+    def _named(self, module: int, names: list[str], spaces: tuple[str, ...], leading: bool = False) -> set[int]:
+        return {b.res.item for space in spaces for b in self.crate.lookup(module, names, space, leading) if b.res.item is not None}
+
+    def documented(self) -> Iterator[Reference]:
+        """Links of documentation to items, part by part of their paths; code blocks are passed over."""
+        fenced = None
+        for i, t in enumerate(self.tokens):
+            if t.kind != "doc":
+                continue
+            if i and self.tokens[i - 1].kind != "doc":
+                fenced = None
+            inner = t.text.startswith(("//!", "/*!"))
+            inside = self.inside(t.start)
+            module = self.module(inside) if inner or self.crate.items[inside].kind != "mod" else self.crate.module[inside]
+            at = t.start
+            for line in self.raw[t.start : t.end].split(b"\n"):
+                if FENCE.match(line):
+                    fenced = None if fenced else True
+                for m in () if fenced else LINK.finditer(line):
+                    which = next((g for g in ("to", "on", "by", "text") if m[g]), None)
+                    path = TARGET.fullmatch(m[which]) if which else None
+                    if path:
+                        yield from self._link(path, at + m.start(which), module, inside)
+                at += len(line) + 1
+
+    def _link(self, path: re.Match, at: int, module: int, inside: int) -> Iterator[Reference]:
+        parts = [(x.start(), x.end()) for x in re.finditer(rb"\w+", path["path"])]
+        names = [path["path"][a:b].decode() for a, b in parts]
+        if names[0] == "Self":
+            names[0] = self._own_type(inside) or "Self"
+        if path["bang"] or path["kind"] in (b"macro", b"derive"):
+            spaces: tuple[str, ...] = (MACRO,)
+        else:
+            spaces = (VALUE,) if path["call"] or path["kind"] in (b"fn", b"value", b"function", b"const", b"static") else (TYPE, VALUE, MACRO)
+        begin = at + path.start("path")
+        for n, (a, b) in enumerate(parts):
+            for item in self._named(module, names[: n + 1], spaces if n + 1 == len(parts) else (TYPE,), path["path"].startswith(b"::")):
+                if names[n] not in ("crate", "self", "super"):
+                    yield self.at(item, Token("ident", "", begin + a, begin + b), "doc", True, inside)
+
+    def _own_type(self, inside: int) -> str | None:
+        at: int | None = inside
+        while at is not None:
+            if self.crate.items[at].kind == "impl" and self.crate.items[at].self_path:
+                return self.crate.items[at].self_path[-1]
+            at = self.crate.items[at].parent
+        return None
+
+    def formatted(self) -> Iterator[Reference]:
+        """Constants and statics that format strings name in braces, or as a width or precision."""
+        for i, t in enumerate(self.tokens):
+            if t.kind != "string" or b"{" not in self.raw[t.start : t.end]:
+                continue
+            opening = i - 1
+            while opening >= 0 and self.tokens[opening].text not in ("(", "[", "{", ";"):
+                opening -= 1
+            if opening < 2 or self.tokens[opening - 1].text != "!" or self.tokens[opening - 2].text not in FORMATS or self.pairs.get(opening, 0) < i:
+                continue
+            inside = self.inside(t.start)
+            text = self.raw[t.start : t.end].replace(b"{{", b"  ").replace(b"}}", b"  ")
+            for m in re.finditer(rb"\{([^{}]*)\}", text):
+                for x in re.finditer(rb"\A\s*([A-Za-z_]\w*)|([A-Za-z_]\w*)\$", m[1]):
+                    g = 1 if x[1] else 2
+                    name = x[g].decode()
+                    for item in self._named(self.module(inside), [name], (VALUE,)):
+                        at = t.start + m.start(1) + x.start(g)
+                        yield self.at(item, Token("ident", "", at, at + len(name)), "format", not self.shadowed(name, inside), inside)
+
+
+def _union(ranges: list[tuple[int, int]]) -> tuple[list[int], list[int]]:
+    """Starts and ends of what the ranges cover."""
+    starts: list[int] = []
+    ends: list[int] = []
+    for a, b in sorted(ranges):
+        if ends and a <= ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+    return starts, ends
+
+
+def _within(union: tuple[list[int], list[int]], at: int) -> bool:
+    k = bisect.bisect_right(union[0], at) - 1
+    return k >= 0 and at < union[1][k]
+
+
+def _innermost(own: list[tuple[int, Item]]) -> tuple[list[int], list[int]]:
+    """Places where the innermost item around changes, and which it is from there on."""
+    bounds, owners, around = [0], [0], [(1 << 62, 0)]
+    for k, x in sorted(own, key=lambda o: (o[1].start, -o[1].end, o[0])):
+        while around[-1][0] <= x.start:
+            end, _ = around.pop()
+            bounds.append(end)
+            owners.append(around[-1][1])
+        bounds.append(x.start)
+        owners.append(k)
+        around.append((x.end, k))
+    while len(around) > 1:
+        end, _ = around.pop()
+        bounds.append(end)
+        owners.append(around[-1][1])
+    return bounds, owners
+
+
 def references(crate: Crate, files: dict[int, str], texts: dict[str, bytes]) -> list[Reference]:
     """All references in a crate's files; of several at one place and to one item the certain one stays. files: of each item."""
     by_file: dict[str, list[tuple[int, Item]]] = defaultdict(list)
@@ -141,8 +265,8 @@ def references(crate: Crate, files: dict[int, str], texts: dict[str, bytes]) ->
                     for b in crate.lookup(crate.module[k], x.segments[: n + 1], space, x.leading_colon, k if not n else None, True):
                         if b.res.item is not None and x.segments[n] not in ("crate", "self", "super"):
                             found.append(file.at(b.res.item, Token("ident", "", s, e), "import", True, k))
-        found += file.references(members)
-    order = ("definition", "import", "path", "macro", "member")
+        found += [*file.references(members), *file.documented(), *file.formatted()]
+    order = ("definition", "import", "path", "macro", "doc", "format", "member")
     best: dict[tuple, Reference] = {}
     for r in sorted(found, key=lambda r: (r.file, r.start, r.end, not r.certain, order.index(r.kind), r.item)):
         best.setdefault((r.file, r.start, r.end, r.item), r)

@@ -260,3 +260,28 @@ def test_module_files_move_with_a_rename(tables):
     geometry = tables["items"].filter("name = 'geometry' AND kind = 'mod'")
     assert [tuple(r) for r in rust.moves(geometry, "shapes").collect()] == [("src/geometry.rs", "src/shapes.rs")]
     assert rust.moves(tables["items"].filter("name = 'moved'"), "x").count() == 0
+
+
+def test_links_in_documentation_and_names_in_format_strings(spark):
+    text = '''//! See [`Thing`], [there](crate::deep::Other#x) and [gone](nowhere::X).
+pub const WIDTH: usize = 3;
+/// Like [Thing::make()] or [`macro@mac!`]; `[Thing]` in code, and [self::deep].
+/// ```
+/// [Thing]
+/// ```
+pub struct Thing;
+impl Thing { /** As [Self]. */ pub fn make() { println!("{WIDTH} {{WIDTH}} {:WIDTH$} {x}", 1, x = 2); let s = "{WIDTH}"; } }
+fn other(WIDTH: u8) -> String { format!("{WIDTH:?}") }
+pub mod deep { pub struct Other; }
+macro_rules! mac { () => {} }
+/// [one]: Thing
+fn last() {}
+'''
+    files = spark.createDataFrame([(0, "lib.rs", text)], "crate_id int, path string, text string")
+    crates = spark.createDataFrame([(0, "demo", "lib.rs", 2021, [])], "crate_id int, name string, root string, edition int, dependencies array<string>")
+    made = rust.workspace(files, crates)
+    names = {r["item_idx"]: r["name"] for r in made["items"].collect()}
+    raw = text.encode()
+    found = {(r["kind"], names[r["target_idx"]], r["line"], r["certain"]) for r in made["references"].filter("kind IN ('doc', 'format')").collect()}
+    assert all(raw[r["start"] : r["end"]].decode() in (names[r["target_idx"]], "Self", "mac") for r in made["references"].filter("kind IN ('doc', 'format')").collect())
+    assert found == {("doc", "Thing", 1, True), ("doc", "deep", 1, True), ("doc", "Other", 1, True), ("doc", "Thing", 3, True), ("doc", "make", 3, True), ("doc", "mac", 3, True), ("doc", "deep", 3, True), ("doc", "Thing", 8, True), ("format", "WIDTH", 8, True), ("format", "WIDTH", 9, False), ("doc", "Thing", 12, True)}
