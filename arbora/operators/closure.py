@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..storage import cut, shared_dir
+from ..storage import cut, temporary
 
 #: Levels and paths for each target that usable paths keep.
 LEVELS, PATHS = 16, 16
@@ -19,7 +17,7 @@ def reachable(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     Each round joins only what the last one found, and adds it to the files of what is known. Cycles end, as nothing is found twice.
     """
     spark = seeds.sparkSession
-    folder = f"{shared_dir(spark)}/reached-{uuid.uuid4().hex}"
+    folder = temporary(spark, "reached")
     edge = cut(seeds.select("seed", "node").distinct().withColumn("rounds", F.lit(0)))
     edge.write.parquet(folder)
     number = 0
