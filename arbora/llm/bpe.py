@@ -13,7 +13,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table, tidy
+from .common import by_few, table, tidy
 
 #: Pieces whose ids a task remembers in each of two generations, the longest of them in bytes, and answers of adjoin() it remembers.
 REMEMBERED, REMEMBERED_BYTES, REMEMBERED_PAIRS = 120_000, 64, 200_000
@@ -337,7 +337,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, ids: bool = False
         known.forget()
         tidy()
 
-    return docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(run, schema)
+    return by_few(docs).selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(run, schema)
 
 
 def standard() -> tuple[str, str]:

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, cut, spread_join, table, tidy
+from .common import BROADCAST_ROWS, by_few, cut, spread_join, table, tidy
 from .graph import components
 
 LEAST_COSINE = 0.95
@@ -241,7 +241,7 @@ def near_links(classes: DataFrame, least: float = LEAST_COSINE, piece: int = PIE
             found = np.concatenate(out, axis=1)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in found], ["id", "links", "other"])
 
-    return work.mapInArrow(run, "id long, links long, other long")
+    return by_few(work).mapInArrow(run, "id long, links long, other long")
 
 
 def near_vectors(rows: DataFrame, least: float = LEAST_COSINE) -> DataFrame:

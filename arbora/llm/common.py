@@ -9,12 +9,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import cut, shared_dir
+from ..storage import cut, shared_dir, temporary
 
-__all__ = ["BROADCAST_ROWS", "SPACE", "ascii_lower", "bound", "cut", "free_name", "shared_dir", "small", "spread_join", "table", "tidy", "uniform"]
+__all__ = ["BROADCAST_ROWS", "SPACE", "ascii_lower", "bound", "by_few", "cut", "free_name", "shared_dir", "small", "spread_join", "table", "temporary", "tidy", "uniform"]
 
 #: The white space of every word and line rule here: blank, tab, line feed, vertical tab, form feed, return.
 SPACE = r"\x20\x09-\x0D"
+#: Rows that Spark hands to Python at once; its own 10,000 may be gigabytes here.
+BATCH_ROWS = 128
 #: Rows of a few numbers each that are broadcast at most, once they are counted.
 BROADCAST_ROWS = 500_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -47,6 +49,14 @@ def uniform(*columns):
     return F.shiftrightunsigned(F.xxhash64(*columns), 11).cast("double") / F.lit(float(1 << 53))
 
 
+def by_few(df: DataFrame) -> DataFrame:
+    """df, whose session then hands BATCH_ROWS rows at once to Python, unless it was told otherwise: rows here are whole texts, or lists of them."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if df.sparkSession.conf.get(name) == "10000":
+        df.sparkSession.conf.set(name, str(BATCH_ROWS))
+    return df
+
+
 def small(rows: DataFrame) -> DataFrame:
     """rows, a table of a few numbers each, to be broadcast if there are few enough of them, which is counted; else joined by shuffle."""
     return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows

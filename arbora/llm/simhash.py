@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, free_name, spread_join, table
+from .common import by_few, cut, free_name, spread_join, table
 from .graph import components
 
 WORDS, SEED, RADIUS = 4, 42, 4
@@ -164,7 +164,7 @@ def near_links(prints: DataFrame, radius: int = RADIUS, piece: int = PIECE) -> D
             a, b = _links(inner.field("fp").to_numpy().copy(), table, np.repeat(np.arange(len(sizes)), sizes), side, guest, radius)
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-    return work.select("xs", "i", "j").mapInArrow(compare, "a long, b long")
+    return by_few(work).select("xs", "i", "j").mapInArrow(compare, "a long, b long")
 
 
 def group_fingerprints(rows: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -183,7 +183,7 @@ def simhash_groups(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     and those of white space have fingerprint zero, and are linked like any other. Rows with a null doc_id take part, and name
     a component only if it has no id at all (null). Repeated rows fall together; an empty table gives an empty one.
     """
-    rows = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), fingerprints(F.col("text")).alias("fp")))
+    rows = cut(by_few(docs).select(F.col("doc_id").cast("long").alias("doc_id"), fingerprints(F.col("text")).alias("fp")))
     return group_fingerprints(rows, radius).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import cut, free_name, small, spread_join, tidy
+from .common import by_few, cut, free_name, small, spread_join, tidy
 from .graph import components
 
 WORDS, SEED = 5, 42
@@ -86,7 +86,7 @@ def _common(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([_arrays([shingles(t) for t in batch.column("text").to_pylist()])], ["own"])
 
-    some = texts.filter(F.pmod(F.xxhash64("cls"), F.lit(share)) == 0).select("text").mapInArrow(run, "own array<long>")
+    some = by_few(texts.filter(F.pmod(F.xxhash64("cls"), F.lit(share)) == 0)).select("text").mapInArrow(run, "own array<long>")
     top = some.select(F.explode("own").alias("token")).groupBy("token").agg(F.count("*").alias("n")).filter("n > 1").orderBy(F.desc("n"), "token").limit(COMMON).toArrow()
     tokens, often = (top.column(c).to_numpy() for c in ("token", "n"))
     order = np.argsort(tokens)
@@ -110,7 +110,7 @@ def _sketches(texts: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("cls"), pa.array(size, pa.int64()), pa.array(prints[:, 0]), pa.array(prints[:, 1]), _arrays(first)], ["cls", "size", "fp", "fq", "prefix"])
         tidy()
 
-    rows = texts.select("cls", "text").mapInArrow(run, schema)
+    rows = by_few(texts).select("cls", "text").mapInArrow(run, schema)
     return rows.groupBy("cls").agg(*(F.first(c).alias(c) for c in ("size", "fp", "fq", "prefix")))
 
 

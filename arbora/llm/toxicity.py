@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import free_name, table, tidy
+from .common import by_few, free_name, table, tidy
 
 #: Labelled rows that the model is fitted on at most: those whose doc_ids have the smallest hashes. Everything else sees all rows.
 SAMPLE = 12_000
@@ -109,7 +109,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes:
     """
     known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     chosen = known.groupBy(F.col("doc_id").alias("id")).agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("id"), "id").limit(sample)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("id"))
+    rows = by_few(docs).select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("id"))
     rows = rows.groupBy("id").agg(F.max("toxic").alias("toxic"), F.min("text").alias("text"))
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,8 +154,14 @@ def scored(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
     own = free_name(docs, "toxicity")
 
     @F.pandas_udf("score double, predicted int, n_sentences long, offending string")
-    def judge(texts: pd.Series) -> pd.DataFrame:
+    def judge(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         memory: dict[str, float] = {}
+        for texts in batches:
+            yield scores(texts, memory)
+        memory.clear()
+        tidy()
+
+    def scores(texts: pd.Series, memory: dict[str, float]) -> pd.DataFrame:
 
         def weight(word: str) -> float:
             value = float(sum(weights[f] for f in features.__wrapped__(word)))
@@ -180,11 +186,10 @@ def scored(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
             if not bad and values and score >= threshold:
                 bad = [int(z.argmax())]
             rows.append((score, int(score >= threshold), len(values), ",".join(f"{spans[i][0]}-{spans[i][1]}" for i in bad)))
-        memory.clear()
         return pd.DataFrame(rows, columns=names)
 
     kept = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in names]
-    return docs.select(*kept, judge(F.col("text")).alias(own)).select(*kept, *(F.col(f"{own}.{c}").alias(c) for c in names))
+    return by_few(docs).select(*kept, judge(F.col("text")).alias(own)).select(*kept, *(F.col(f"{own}.{c}").alias(c) for c in names))
 
 
 def op5_toxicity_noisy_or(spark: SparkSession, sf_dir: str) -> DataFrame:
