@@ -406,3 +406,47 @@ def nearest_module(spark, d):
     up = trees.ancestors(nodes.select(F.col("path").alias("node"), "parent")).filter("distance = 1")
     named = nodes.select(F.col("path").alias("ancestor"), F.col("name").alias("module"))
     return nodes.join(up.join(named, "ancestor"), F.col("path") == F.col("node"), "left").select("path", F.coalesce("module", "name").alias("module"))
+
+
+@query("SELECT p_partkey FROM part WHERE starts_with(p_name, 'cold') OR ends_with(p_name, 'ring') OR contains(p_name, 'll w') OR p_name = 'blue rod'")
+def ident_forms(spark, d):
+    """Names by their start, end, middle, and whole."""
+    forms = (globs.Ident.starts_with("cold"), globs.Ident.ends_with("ring"), globs.Ident.contains("ll w"), globs.Ident.exact("blue rod"))
+    name = F.col("p_name")
+    return table(spark, d, "part").filter(forms[0].matches(name) | forms[1].matches(name) | forms[2].matches(name) | forms[3].matches(name)).select("p_partkey")
+
+
+@query(f"WITH {PLACES} SELECT path FROM places WHERE (starts_with(path, 'EUROPE::') AND kind = 'nation') OR (starts_with(path, 'ASIA::') AND kind = 'customer' AND name LIKE '%5') OR path = 'AFRICA'")
+def anchored_patterns(spark, d):
+    """`crate::*` in the selected crate, `::ASIA::*::*5` from a crate's root, and a name anywhere."""
+    items = places(spark, d).withColumn("selected", F.split("path", "::")[0] == "EUROPE")
+    made = [globs.Path.parse(p, loose=True) for p in ("crate::*", "::ASIA::*::*5", "AFRICA")]
+    found = find.find(items, made)
+    return found.filter("kind <> 'customer' OR startswith(path, 'ASIA')").select("path")
+
+
+@query("SELECT o_orderkey AS item_idx FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 45)")
+def unresolved_links(spark, d):
+    """Orders as imports, lines of large amounts as what they lead to."""
+    items = table(spark, d, "orders").select(F.lit(0).alias("crate_id"), F.col("o_orderkey").alias("item_idx"), F.lit("import").alias("kind"))
+    targets = table(spark, d, "lineitem").filter("l_quantity > 45").select(F.lit(0).alias("crate_id"), F.col("l_orderkey").alias("item_idx"))
+    return rust.unresolved_imports({"items": items, "targets": targets}).select("item_idx")
+
+
+@query("""WITH s AS (SELECT l_orderkey AS file, l_linenumber AS item_idx, l_linenumber * 3 AS a, l_linenumber * 3 + CAST(l_quantity AS BIGINT) % 20 AS b FROM lineitem),
+u AS (SELECT file, a, b, min(item_idx) AS item_idx FROM s GROUP BY file, a, b), p AS (SELECT DISTINCT file, 12 AS line FROM s)
+SELECT p.file, p.line, arg_max(u.item_idx, u.a * 1000 - u.b) AS item_idx FROM p LEFT JOIN u ON u.file = p.file AND u.a <= p.line AND p.line <= u.b GROUP BY p.file, p.line""")
+def items_at_lines(spark, d):
+    """Lines of orders as items of a file, which hold line 12 or don't."""
+    line = table(spark, d, "lineitem")
+    a = F.col("l_linenumber") * 3
+    items = line.select(F.lit(0).alias("crate_id"), F.col("l_linenumber").alias("item_idx"), F.lit("x").alias("path"), F.col("l_orderkey").alias("file"), a.alias("start_line"), (a + F.col("l_quantity").cast("long") % 20).alias("end_line"), F.col("l_linenumber").alias("start"))
+    return rust.at_lines(items, items.select("file").distinct().withColumn("line", F.lit(12))).select("file", "line", "item_idx")
+
+
+@query("""SELECT o_orderkey, lead_from, lead_to FROM (SELECT o_orderkey, o_custkey AS lead_from, lead(o_custkey) OVER (ORDER BY o_orderkey) AS lead_to FROM orders) WHERE lead_from > lead_to""")
+def crossed_neighbours(spark, d):
+    """Orders whose next one has a lesser customer: neighbours in a whole table's order, found by ranks and an equi-join."""
+    ranked = rows.numbered(table(spark, d, "orders").select("o_orderkey", "o_custkey"), [F.col("o_orderkey").asc()])
+    after = ranked.select((F.col("rank") - 1).alias("rank"), F.col("o_custkey").alias("lead_to"))
+    return ranked.join(after, "rank").filter("o_custkey > lead_to").select("o_orderkey", F.col("o_custkey").alias("lead_from"), "lead_to")

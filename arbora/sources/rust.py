@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import cfg
 from ..functions.globs import SEP, normal_arguments, written
 from ..operators.rows import best
+from ..operators.spans import innermost
 from ..storage import cut
 from .items import Item, parse
 from .lexer import SyntaxProblem
@@ -277,3 +278,44 @@ def moves(items: DataFrame, name: str) -> DataFrame:
     loaded = items.filter("kind = 'mod' AND NOT inline AND loads IS NOT NULL AND NOT array_contains(attrs, 'path')")
     whole = F.when(F.col("loads").endswith("/mod.rs"), F.regexp_replace("loads", r"[^/]+/mod\.rs$", f"{name}/mod.rs")).otherwise(F.regexp_replace("loads", r"[^/]+\.rs$", f"{name}.rs"))
     return loaded.select(F.col("loads").alias("path"), whole.alias("target")).distinct()
+
+
+def resolve_path(tables: dict[str, DataFrame], path: list[str], links: DataFrame | None = None) -> DataFrame:
+    """Items (crate_id, item_idx) that a path leads to, name by name: the crate's name or `crate`, then what each module binds, public or not, re-exports
+    included, and what stands in items that aren't modules (variants, associated items). links: linked(), to go on into other crates."""
+    items, bindings = tables["items"], tables["bindings"].filter("target_idx IS NOT NULL")
+    here = items.filter("item_idx = 0") if path[0] == "crate" else items.filter((F.col("item_idx") == 0) & (F.col("name") == path[0]))
+    here = here.select("crate_id", "item_idx")
+    owner = items.filter("kind <> 'mod' AND parent_idx IS NOT NULL").select("crate_id", F.coalesce("self_idx", "item_idx").alias("held"), "item_idx", "parent_idx", "name", "kind")
+    blocks = items.filter("kind = 'impl' AND self_idx IS NOT NULL").select("crate_id", F.col("item_idx").alias("parent_idx"), F.col("self_idx").alias("block_of"))
+    members = owner.join(blocks, ["crate_id", "parent_idx"], "left").select("crate_id", F.coalesce("block_of", "parent_idx").alias("holder"), "item_idx", "name", "kind").filter("kind <> 'import'")
+    modules = items.filter("kind = 'mod'").select("crate_id", F.col("item_idx").alias("holder"))
+    inside = members.join(modules, ["crate_id", "holder"], "left_anti").select("crate_id", "holder", "item_idx", "name")
+    bound = bindings.select("crate_id", F.col("module_idx").alias("holder"), F.col("target_idx").alias("item_idx"), "name")
+    further = tables["bindings"].filter("target_idx IS NULL AND import_idx IS NOT NULL").select("crate_id", F.col("module_idx").alias("holder"), "import_idx", "name")
+    steps = bound.unionByName(inside).select("crate_id", "holder", "name", F.col("crate_id").alias("to_crate"), F.col("item_idx").alias("to_item"))
+    if links is not None:
+        steps = steps.unionByName(further.join(links.select("crate_id", F.col("item_idx").alias("import_idx"), "to_crate", "to_item"), ["crate_id", "import_idx"]).select("crate_id", "holder", "name", "to_crate", "to_item"))
+    for name in path[1:]:
+        met = here.withColumnRenamed("item_idx", "holder").join(steps.filter(F.col("name") == name), ["crate_id", "holder"])
+        here = met.select(F.col("to_crate").alias("crate_id"), F.col("to_item").alias("item_idx")).distinct()
+    return here
+
+
+def in_scope(tables: dict[str, DataFrame], module: DataFrame) -> DataFrame:
+    """Names that modules (crate_id, module_idx) bind, with what they mean: explicit ones and those that globs bring."""
+    return tables["bindings"].join(module.select("crate_id", "module_idx").distinct(), ["crate_id", "module_idx"], "left_semi")
+
+
+def importers(tables: dict[str, DataFrame], items: DataFrame) -> DataFrame:
+    """(crate_id, item_idx, import_idx): the imports that lead to items (crate_id, item_idx)."""
+    wanted = items.select("crate_id", F.col("item_idx").alias("target_idx")).distinct()
+    return tables["targets"].join(wanted, ["crate_id", "target_idx"]).select("crate_id", F.col("target_idx").alias("item_idx"), F.col("item_idx").alias("import_idx")).distinct()
+
+
+def at_lines(items: DataFrame, places: DataFrame) -> DataFrame:
+    """places (file, line) with the innermost item (crate_id, item_idx, path) on each line; of several on one line the first."""
+    held = items.filter("item_idx > 0").select("crate_id", "item_idx", "path", "file", F.col("start_line").alias("start"), (F.col("end_line") + 1).alias("end"), F.col("start").alias("at"))
+    spans = best(held, ["file", "start", "end"], [F.col("at"), F.col("crate_id"), F.col("item_idx")]).withColumn("span", F.struct("crate_id", "item_idx", "path"))
+    found = innermost(places.select("file", F.col("line").alias("offset")), spans.select("file", "start", "end", "span"), ["file"])
+    return found.select("file", F.col("offset").alias("line"), "span.*")

@@ -285,3 +285,17 @@ fn last() {}
     found = {(r["kind"], names[r["target_idx"]], r["line"], r["certain"]) for r in made["references"].filter("kind IN ('doc', 'format')").collect()}
     assert all(raw[r["start"] : r["end"]].decode() in (names[r["target_idx"]], "Self", "mac") for r in made["references"].filter("kind IN ('doc', 'format')").collect())
     assert found == {("doc", "Thing", 1, True), ("doc", "deep", 1, True), ("doc", "Other", 1, True), ("doc", "Thing", 3, True), ("doc", "make", 3, True), ("doc", "mac", 3, True), ("doc", "deep", 3, True), ("doc", "Thing", 8, True), ("format", "WIDTH", 8, True), ("format", "WIDTH", 9, False), ("doc", "Thing", 12, True)}
+
+
+def test_paths_scopes_and_lines(tables):
+    names = {r["item_idx"]: (r["kind"], r["path"]) for r in tables["items"].collect()}
+    where = lambda *path: {names[r["item_idx"]][1] for r in rust.resolve_path(tables, list(path)).collect()}
+    assert where("demo", "Form") == {"demo::geometry::Figure"} and where("crate", "g", "Disc", "new") == {"demo::geometry::Disc::new"}
+    assert where("crate", "geometry", "Sort", "Flat") == {"demo::geometry::Sort::Flat"} and where("demo", "nowhere") == set()
+    assert where("demo", "deep", "bottom") == {"demo::inner::deep::bottom"}  # by a glob
+    module = tables["items"].filter("path = 'demo::geometry'").selectExpr("crate_id", "item_idx AS module_idx")
+    assert {r["name"] for r in rust.in_scope(tables, module).collect()} >= {"Disc", "Pair", "Sort", "Figure", "hidden"}
+    hidden = tables["items"].filter("path = 'demo::inner::hidden'")
+    assert {names[r["import_idx"]][1] for r in rust.importers(tables, hidden).collect()} == {"use demo::geometry::hidden"}
+    places = tables["items"].sparkSession.createDataFrame([("src/geometry.rs", 6), ("src/geometry.rs", 99)], "file string, line int")
+    assert {(r["line"], r["path"]) for r in rust.at_lines(tables["items"], places).collect()} == {(6, "demo::geometry::Disc"), (99, None)}
