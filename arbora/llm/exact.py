@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 from contextlib import contextmanager
 from urllib.parse import unquote
@@ -10,7 +9,7 @@ from urllib.parse import unquote
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, shared_dir, spread_join
+from .common import BROADCAST_ROWS, bound, cut, spread_join, temporary
 
 #: State is kept in RocksDB; each batch saves its changes, and whole stores only now and then. Space isn't allotted ahead of need.
 STATE = {
@@ -60,8 +59,8 @@ def absorb(stream: DataFrame, folder: str, digest: Callable[[Column], Column] =
     hits are checked by whole texts: see verify().
     """
     spark = stream.sparkSession
-    norm = normalised(F.col("text"))
-    rows = stream.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("_metadata.file_path").alias("file"), digest(norm).alias("digest"), sha256(norm).alias("sha"))
+    both = bound(normalised(F.col("text")), lambda norm: F.struct(digest(norm).alias("digest"), sha256(norm).alias("sha")))
+    rows = stream.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("_metadata.file_path").alias("file"), both.alias("both")).select("doc_id", "file", "both.digest", "both.sha")
     with _settings(spark, STATE):
         _drained(rows.writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/reading").trigger(availableNow=True).start())
         taken = spark.readStream.schema(ROWS).option("maxFilesPerTrigger", str(BATCH_FILES)).parquet(f"{folder}/rows")
@@ -106,7 +105,8 @@ def _taken(spark: SparkSession, folder: str) -> DataFrame:
 def _contents(spark: SparkSession, files: list[str], kinds: str, digest: Callable[[Column], Column]) -> DataFrame:
     """(doc_id, file, digest, norm) of all rows of the files."""
     read = spark.read.schema(kinds).parquet(*map(unquote, files))
-    return read.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("_metadata.file_path").alias("file"), normalised(F.col("text")).alias("norm")).withColumn("digest", digest(F.col("norm")))
+    both = bound(normalised(F.col("text")), lambda norm: F.struct(norm.alias("norm"), digest(norm).alias("digest")))
+    return read.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("_metadata.file_path").alias("file"), both.alias("both")).select("doc_id", "file", "both.norm", "both.digest")
 
 
 def _files(rows: DataFrame) -> list[str]:
@@ -118,8 +118,8 @@ def verify(spark: SparkSession, folder: str, kinds: str, digest: Callable[[Colum
     """Checks all hits of the batches since the last check by full bytes, and lists digests of unequal texts in folder/apart.
 
     A hit is a row of a digest that the state counts more than once. Its whole normalised text is compared with that of the row that the state
-    points at, which is fetched from its locator's file. Where that content is gone the hit can't be checked, and this fails. Texts are shuffled once, by
-    digest; a digest of many rows is dealt to many tasks, and the pointed text goes to each of them.
+    points at, which is fetched from its locator's file. Where that content is gone the hit can't be checked, and this fails. Only hits' texts are shuffled (if
+    their digests are too many to be broadcast, all texts once before); a digest of many rows is dealt to many tasks, and the pointed text goes to each of them.
     """
     last = _batches(spark, folder).agg(F.max("batch")).first()[0]
     done = _kept(spark, f"{folder}/verified", "upto long").agg(F.max("upto")).first()[0]
@@ -132,14 +132,15 @@ def verify(spark: SparkSession, folder: str, kinds: str, digest: Callable[[Colum
         share = max(1, sums["rows"] // partitions)
         placed = spread_join(_taken(spark, folder), several.select("digest"), ["digest"], ["doc_id", "file"], several.select("digest", "n"), "left_semi")
         files = _files(placed.unionByName(several.select(F.col("locator").alias("file")), allowMissingColumns=True))
+        texts = _contents(spark, files, kinds, digest)
+        light = several.select("digest", "keep_id", "locator")
+        met = texts.join(F.broadcast(light), "digest") if sums["digests"] <= BROADCAST_ROWS else spread_join(texts, light, ["digest"], ["doc_id", "file"], several.select("digest", "n"))
         # At most as many digests as partitions have over a partition's share of the hits.
         hot = F.broadcast(several.filter(F.col("n") > share).select("digest", F.least(F.lit(partitions), F.ceil(F.col("n") / share)).cast("int").alias("pieces")))
         salt = F.coalesce(F.pmod(F.xxhash64("doc_id", "file"), F.col("pieces")).cast("int"), F.lit(0)).alias("salt")
         every = F.explode(F.sequence(F.lit(0), F.coalesce("pieces", F.lit(1)) - 1)).alias("salt")
-        texts = _contents(spark, files, kinds, digest).join(hot, "digest", "left").select("digest", salt, "doc_id", "file", "norm")
-        held = several.join(hot, "digest", "left").select("digest", every, "keep_id", "locator")
-        hits = texts.join(held, ["digest", "salt"])
-        pointed = hits.filter("file = locator AND doc_id <=> keep_id").groupBy("digest").agg(F.min("norm").alias("whole"))
+        hits = cut(met.join(hot, "digest", "left").select("digest", salt, "norm", F.expr("file = locator AND doc_id <=> keep_id").alias("pointed")))
+        pointed = hits.filter("pointed").groupBy("digest").agg(F.min("norm").alias("whole"))
         met = hits.join(pointed.join(hot, "digest", "left").select("digest", every, "whole"), ["digest", "salt"], "left")
         unequal = cut(met.filter("whole IS NULL OR norm <> whole").groupBy("digest").agg(F.bool_or(F.col("whole").isNull()).alias("lost")))
         if not unequal.filter("lost").isEmpty():
@@ -172,7 +173,7 @@ def dedup_table(spark: SparkSession, path: str, folder: str | None = None, diges
     doc_id count but stay only where others name them: kept is false, and keep_id is null where the group has no id at all.
     An empty table gives an empty one; further columns are not looked at. With a folder of before, rows of files that have gone since are still there.
     """
-    folder = folder or f"{shared_dir(spark)}/exact-{uuid.uuid4().hex}"
+    folder = folder or temporary(spark, "exact")
     plain = spark.read.parquet(path).select("doc_id", "text")
     pattern = path.rstrip("/")[:-1] + f"[{path.rstrip('/')[-1]}]"  # as a pattern a single file is taken as well as a folder
     stream = spark.readStream.schema(plain.schema).option("maxFilesPerTrigger", str(BATCH_FILES)).parquet(pattern)
