@@ -173,6 +173,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), seed: int = SEED)
 
 
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """copies() of all documents, a row for each."""
     taken, aims = copies(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     rows = _aimed(taken, aims).withColumn("row", F.explode(F.array_repeat(F.lit(1), F.col("n").cast("int"))))
     return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", "source")

@@ -75,7 +75,7 @@ class Model:
                 total = np.bincount(doc, np.logaddexp(0, z), len(picked))
                 pull = np.where(labels[picked] == 1, -1 / np.expm1(np.clip(total, 1e-6, 500)), 1.0)
                 by_sentence = pull[doc] / (1 + np.exp(-z))
-                slope = np.bincount(values, by_sentence[of], len(w))
+                slope = np.bincount(values, by_sentence[of], len(w)).astype(np.float64)
                 slope[-1] = by_sentence.sum()
                 slope /= len(picked)
                 slope[:-1] += DECAY * w[:-1]

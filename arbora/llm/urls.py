@@ -130,6 +130,7 @@ def judge(pages: DataFrame, rules: list[Rule], url: str = "url", default: str =
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """judge() of all pages by the fixed rules."""
     return judge(table(spark, sf_dir, "pages").select("page_id", "url"), RULES).select("page_id", "host", "path", "rule", "verdict")
 
 

@@ -49,5 +49,30 @@ def test_stages(spark):
     assert all(encoder.decode(r["ids"]) == texts[r["doc_id"]].encode() and r["decoded_sha256"] == hashlib.sha256(texts[r["doc_id"]].encode()).hexdigest() for r in last)
 
 
+def test_stages_take_odd_rows(spark, tmp_path):
+    """Nulls in any column, empty and long texts, ties and repeated rows, columns named like results, and no rows at all, stage after stage."""
+    from tests.llm.test_rows import LONG, ROWS
+
+    spark.createDataFrame([(0, 0, 0), (1, 0, 0), (2, None, 1), (None, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    shared = "this line is shared by many rows\n"
+    rows = [(i, t, None if i == 5 else "en", s, None if t is None else len(t), 1.0, "x") for i, t, s in ROWS]
+    rows += [(100 + i, shared + f"own {i} words of the row", "en", "s0", None, None, None) for i in range(4)] + [(None, "alone without an id", None, None, None, None, None), (200, LONG, "en", "s1", 1, 1.0, "y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, SCORE double, drops string")
+    for start in (docs, docs.limit(0)):
+        held = start
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, held, str(tmp_path))
+            assert out.columns == docs.columns and out.dtypes == docs.dtypes, name
+            found = spark.createDataFrame(out.collect(), out.schema)
+            if name != "mixing":
+                assert found.count() <= held.count()
+            if name == "simhash" and start is docs:
+                texts = [" ".join((r["text"] or "").lower().split()) for r in found.collect()]
+                assert texts.count("a b c d e") == 1 and texts.count("") == 1 and texts.count("alone without an id") == 1 and texts.count(" ".join(LONG.split())) == 1
+            held = found
+        last = corpus_pipeline.STAGES[-1][1](spark, held, str(tmp_path))
+        assert last.count() == held.count()
+
+
 def test_run(spark):
     assert corpus_pipeline.run(spark, SF).count() > 0
