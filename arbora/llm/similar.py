@@ -255,7 +255,7 @@ def near_links(texts: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """Of each group of near copies the row with the smallest doc_id; rows that repeat its doc_id and text stay alike, and columns stay as they are.
+    """Of each group of near copies the row with the smallest doc_id, and one of those that repeat its doc_id and text; columns stay as they are.
 
     Groups are the components of texts that are similar enough; words are cut and lower-cased as for SimHash, null, empty texts and texts without words
     are alike, and texts of up to five words are similar if they have the same words. Of a group without any doc_id one row stays. Texts, of any length, are
@@ -264,7 +264,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
     key, of, gone = (free_name(docs, c) for c in ("key", "of_key", "gone_id"))
     texts = docs.select(F.xxhash64("text").alias("cls"), "text", F.col("doc_id").cast("long").alias("doc_id"))
     labels = components(near_links(texts.select("cls", "text")))
-    ids = cut(texts.groupBy("cls", "doc_id").agg(F.count("*").alias("n")).drop("n"))
+    counted = cut(texts.groupBy("cls", "doc_id").agg(F.count("*").alias("n")))
+    ids = counted.drop("n")
     first = ids.groupBy("cls").agg(F.min("doc_id").alias("first"))
     named = cut(first.join(labels.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "first", F.coalesce("component", "cls").alias("component")))
     least = named.groupBy("component").agg(F.min("first").alias("stays"), F.min("cls").alias("least"))
@@ -273,6 +274,13 @@ def keep_one(docs: DataFrame) -> DataFrame:
     lost = spread_join(ids, group, ["cls"], ["doc_id"]).filter("doc_id <> stays").select(F.col("cls").alias(of), F.col("doc_id").alias(gone))
     keyed = docs.withColumn(key, F.xxhash64("text"))
     kept = keyed.filter("doc_id IS NOT NULL").join(small(cut(lost)), (F.col(key) == F.col(of)) & (F.col("doc_id").cast("long") == F.col(gone)), "left_anti")
+    again = cut(counted.filter("n > 1 AND doc_id IS NOT NULL").select(F.col("cls").alias(of), F.col("doc_id").alias(gone)))
+    if not again.isEmpty():
+        # Only what is repeated is brought together, after each task has kept one row of its own.
+        same, names = (F.col(key) == F.col(of)) & (F.col("doc_id").cast("long") == F.col(gone)), [F.col(f"`{c}`") for c in kept.columns]
+        repeated, few = kept, small(again)
+        one = repeated.join(few, same, "left_semi").groupBy(F.col(key).alias(of), F.col("doc_id").alias(gone)).agg(F.min_by(F.struct(*names), F.xxhash64(*names)).alias(key))
+        kept = repeated.join(few, same, "left_anti").unionByName(one.select(f"{key}.*"))
     nameless = cut(group.filter("stays IS NULL AND cls = least").select(F.col("cls").alias(of)))
     alone = keyed.filter("doc_id IS NULL").join(small(nameless), F.col(key) == F.col(of), "left_semi").dropDuplicates([key])
     return kept.unionByName(alone).select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -47,6 +47,12 @@ def test_groups_against_all_pairs(spark, texts, crowd, piece, monkeypatch):
     assert got.columns == docs.columns and sorted(r["doc_id"] for r in got.collect()) == sorted(set(want.values()))
 
 
+def test_repeated_rows(spark):
+    rows = [(1, "a b c d e f g", "x")] * 3 + [(1, "a b c d e f g", "y"), (2, "a b c d e f g", "x"), (3, "other words", "x"), (3, "other words", "x"), (None, "no id", "x"), (None, "no id", "x")]
+    got = similar.keep_one(spark.createDataFrame(rows, "doc_id long, text string, KEY string")).collect()
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in got) == [(0, "no id"), (1, "a b c d e f g"), (3, "other words")] and got[0].__fields__ == ["doc_id", "text", "KEY"]
+
+
 def test_none(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert similar.keep_one(docs).count() == 0
