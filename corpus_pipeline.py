@@ -39,7 +39,7 @@ def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (five-word shingles, a Jaccard similarity of 0.8 or more) the document with the smallest doc_id stays.
 
-    Texts without words are alike. Of a group without any doc_id one row stays; rows that repeat doc_id and text stay alike. An empty table
+    Texts without words are alike. Of a group without any doc_id one row stays, and one of rows that repeat doc_id and text. An empty table
     stays empty, and all columns stay, whatever their names.
     """
     return _as(docs, simhash.keep_similar(docs))
