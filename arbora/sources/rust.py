@@ -8,11 +8,12 @@ import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import cfg
+from ..functions import cfg, globs
 from ..functions.globs import SEP, normal_arguments, written
+from ..operators import find
 from ..operators.rows import best
 from ..operators.spans import innermost
 from ..storage import cut
@@ -154,6 +155,7 @@ def workspace(files: DataFrame, crates: DataFrame) -> dict[str, DataFrame]:
         numbers = ("item_idx", "parent_idx", "module_idx", "self_idx", "target_idx", "scope_idx", "start", "end", "name_start", "name_end", "line", "column", "impl_idx", "start_line", "start_column", "end_line", "end_column", "head", "vis_end")
         return frame.assign(**{c: frame[c].astype("Int64") if c in numbers else frame[c].astype(object).where(frame[c].notna(), None) for c in COLUMNS})
 
+    files = files.select(*(F.col(c).alias(c) for c in ("crate_id", "path", "text")))  # may have come from crates, too
     found = cut(crates.groupBy("crate_id").cogroup(files.groupBy("crate_id")).applyInPandas(run, SCHEMA))
     part = lambda row, *columns: found.filter(F.col("row") == row).select("crate_id", *columns)
     items = part("item", *(c for c in COLUMNS[2:] if c not in ("space", "target_idx", "external", "message", "line", "column", "certain")))
@@ -319,3 +321,36 @@ def at_lines(items: DataFrame, places: DataFrame) -> DataFrame:
     spans = best(held, ["file", "start", "end"], [F.col("at"), F.col("crate_id"), F.col("item_idx")]).withColumn("span", F.struct("crate_id", "item_idx", "path"))
     found = innermost(places.select("file", F.col("line").alias("offset")), spans.select("file", "start", "end", "span"), ["file"])
     return found.select("file", F.col("offset").alias("line"), "span.*")
+
+
+def read_files(spark: SparkSession, root: str, glob: str = "*.rs") -> DataFrame:
+    """(path, text) of all source files below root, read by Spark from wherever it reads, each once and as a whole; paths are below root."""
+    whole = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter=glob)
+    top = "/" + root.split("://")[-1].removeprefix("file:").strip("/") + "/"
+    place = F.url_decode(F.replace("_metadata.file_path", F.lit("+"), F.lit("%2B")))
+    return whole.select(F.substring_index(place, top, -1).alias("path"), F.col("value").alias("text"))
+
+
+def assign(files: DataFrame, crates: DataFrame) -> DataFrame:
+    """(crate_id, path, text): a file goes to the crates whose root's folder it is below, the innermost such folder; crates that share a folder share its files.
+
+    Folders of crates (few) are met with the folders of each path by name, so no file is compared with every crate.
+    """
+    folder = lambda c: F.regexp_replace(F.regexp_replace(c, r"[^/]*$", ""), "/$", "")
+    own = crates.select(F.col("crate_id").alias("crate_id"), folder(F.col("root")).alias("folder"))
+    parts = F.split("path", "/")
+    above = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/"))
+    met = files.select("path", F.posexplode(above).alias("depth", "folder")).join(own.select("folder").distinct(), "folder")
+    inner = met.groupBy("path").agg(F.max_by("folder", "depth").alias("folder"))
+    return files.join(inner, "path").join(own, "folder").select("crate_id", "path", "text")
+
+
+def find_items(tables: dict[str, DataFrame], patterns: list[str], kinds: tuple[str, ...] = (), ignore_case: bool = False, active_only: bool = False) -> DataFrame:
+    """find() over a workspace's items by patterns as written; a pattern without wildcards finds as well what its path leads to through re-exports."""
+    made = [globs.parse(p, ignore_case) for p in patterns]
+    led = None
+    for p in made:
+        if isinstance(p, globs.Path) and p.segments and not p.only and not any("*" in s for s in p.segments):
+            one = named(tables, list(p.segments)).select("crate_id", "item_idx")
+            led = one if led is None else led.unionByName(one)
+    return find.find(tables["items"], made, kinds, active_only, led)

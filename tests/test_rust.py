@@ -299,3 +299,34 @@ def test_paths_scopes_and_lines(tables):
     assert {names[r["import_idx"]][1] for r in rust.importers(tables, hidden).collect()} == {"use demo::geometry::hidden"}
     places = tables["items"].sparkSession.createDataFrame([("src/geometry.rs", 6), ("src/geometry.rs", 99)], "file string, line int")
     assert {(r["line"], r["path"]) for r in rust.at_lines(tables["items"], places).collect()} == {(6, "demo::geometry::Disc"), (99, None)}
+
+
+def test_a_folder_of_crates(spark, tmp_path):
+    for path, text in {"one/src/lib.rs": "pub mod a;\npub use a::Deep as Kept;\n", "one/src/a.rs": "pub struct Deep;\n", "one/notes.txt": "no", "one/inner/src/lib.rs": "fn nested() {}\n", "two/src/lib.rs": "fn two() {}\n"}.items():
+        (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / path).write_text(text)
+    files = rust.read_files(spark, str(tmp_path))
+    assert {r["path"] for r in files.collect()} == {"one/src/lib.rs", "one/src/a.rs", "one/inner/src/lib.rs", "two/src/lib.rs"}
+    crates = spark.createDataFrame([(0, "one", "one/src/lib.rs", 2021, []), (1, "inner", "one/inner/src/lib.rs", 2021, []), (2, "two", "two/src/lib.rs", 2021, [])], "crate_id int, name string, root string, edition int, dependencies array<string>")
+    held = rust.assign(files, crates)
+    assert {(r["crate_id"], r["path"]) for r in held.collect()} == {(0, "one/src/lib.rs"), (0, "one/src/a.rs"), (1, "one/inner/src/lib.rs"), (2, "two/src/lib.rs")}
+    made = rust.workspace(held, crates)
+    assert {r["path"] for r in rust.find_items(made, ["crate::Kept"]).collect()} == {"one::a::Deep"}
+    assert {r["path"] for r in rust.find_items(made, ["n*"]).collect()} == {"inner::nested"}
+
+
+def test_attached_sources(spark, tables):
+    from arbora.sources.attached import Sources
+
+    sources = Sources()
+    sources.attach("demo", tables, read=("src/*.rs",), write=("src/g*.rs",))
+    sources.attach("other", {"items": tables["items"].limit(0)})
+    assert sources.list() == [("demo", True, ("src/*.rs",), ("src/g*.rs",)), ("other", False, ("**",), ())]
+    assert {r["file"] for r in sources.table("items").select("file").distinct().collect()} == {"src/lib.rs", "src/geometry.rs", "src/inner.rs"}
+    plan = spark.createDataFrame([("src/geometry.rs", 0, 0, "x", 0), ("src/lib.rs", 0, 0, "x", 0)], "path string, start long, end long, replacement string, seq long")
+    made, refused = sources.plan(plan)
+    assert [r["path"] for r in made.collect()] == ["src/geometry.rs"] and [r["path"] for r in refused.collect()] == ["src/lib.rs"]
+    sources.use("other")
+    assert sources.table("items").count() == 0
+    sources.detach("other")
+    assert sources.current == "demo"
