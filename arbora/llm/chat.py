@@ -91,11 +91,11 @@ pieces AS (
 placed AS (
   SELECT *, CAST(coalesce(sum(length(head) + length(body) + 1) OVER (
               PARTITION BY conv_id, assistant ORDER BY part, turn NULLS FIRST, role, text
-              ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS at
+              ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS begins
   FROM pieces)
-SELECT conv_id, assistant, part, min(at) AS starts_at, count(*) AS n_turns,
+SELECT conv_id, assistant, part, min(begins) AS starts_at, count(*) AS n_turns,
        string_agg(head || body || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS rendered,
-       coalesce(string_agg(CAST(at + length(head) AS VARCHAR) || '-' || CAST(at + length(head) + length(body) AS VARCHAR), ',' ORDER BY at)
+       coalesce(string_agg(CAST(begins + length(head) AS VARCHAR) || '-' || CAST(begins + length(head) + length(body) AS VARCHAR), ',' ORDER BY begins)
                 FILTER (WHERE own), '') AS mask,
        count(*) FILTER (WHERE own) AS n_masked
 FROM placed GROUP BY conv_id, assistant, part
