@@ -25,7 +25,7 @@ BITS, PREFIXES = 18, (4, 5)
 STEPS, BATCH, RATE, DECAY = 470, 256, 0.08, 5e-5
 #: Sample documents that a feature must be in to have a weight.
 LEAST_DOCS = 3
-#: Words whose weights a worker remembers.
+#: Words whose weights a task remembers.
 REMEMBERED = 100_000
 SENTENCE, WORD = re.compile(r"[^.!?\n]+"), re.compile(r"\w+")
 
@@ -165,9 +165,8 @@ def scored(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
 
         def weight(word: str) -> float:
             value = float(sum(weights[f] for f in features.__wrapped__(word)))
-            if len(memory) >= REMEMBERED:
-                memory.clear()
-            memory[word] = value
+            if len(memory) < REMEMBERED:  # the first ones stay: frequent words come early
+                memory[word] = value
             return value
 
         rows = []
