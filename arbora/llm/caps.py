@@ -30,6 +30,8 @@ MOST_WORDS, TRIED = 8192, 4096
 PIECE = 1024
 #: Vectors up to which a filter's pairs are listed one by one instead of multiplied out.
 FEW = 48
+#: Bits of a vector's sketch.
+SKETCH = 128
 #: A filter's number has the vectors' length in its upper bits.
 SPAN = 1 << 40
 
@@ -155,15 +157,59 @@ def _decoded(classes: DataFrame, number: int, least: float) -> DataFrame:
         for batch in batches:
             rows = _vectors(batch.column("vector"))
             found: list[np.ndarray] = [np.empty(0, np.int64)] * len(rows)
+            prints = np.zeros((len(rows), SKETCH // 64), np.int64)
             for dim in {len(r) for r in rows}:
                 own = [i for i, r in enumerate(rows) if len(r) == dim]
-                for i, f in zip(own, code(dim, number, least).decode(_unit([rows[i] for i in own]))):
+                unit = _unit([rows[i] for i in own])
+                prints[own] = sketches(unit)
+                for i, f in zip(own, code(dim, number, least).decode(unit)):
                     found[i] = f + dim * SPAN
             lists = pa.ListArray.from_arrays(np.cumsum([0, *map(len, found)]).astype(np.int32), pa.array(np.concatenate([np.empty(0, np.int64), *found])))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), lists], ["id", "filters"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), lists, pa.array(prints[:, 0]), pa.array(prints[:, 1])], ["id", "filters", "fp", "fq"])
         tidy()
 
-    return classes.select("id", "vector").mapInArrow(run, "id long, filters array<long>")
+    return classes.select("id", "vector").mapInArrow(run, "id long, filters array<long>, fp long, fq long")
+
+
+def sketches(unit: np.ndarray) -> np.ndarray:
+    """SKETCH bits for each unit vector, as longs: on which side of random planes it lies."""
+    planes = np.random.default_rng([11, unit.shape[1]]).standard_normal((unit.shape[1], SKETCH))
+    return np.packbits(unit @ planes > 0, axis=1, bitorder="little").view("<i8")
+
+
+def apart(least: float) -> int:
+    """Bits in which sketches of vectors at the least cosine may differ: the mean and seven standard deviations, which one pair in a billion exceeds."""
+    chance = math.acos(least) / math.pi
+    return math.ceil(SKETCH * chance + 7 * math.sqrt(SKETCH * chance * (1 - chance)))
+
+
+def _plausible(met: DataFrame, least: float, piece: int) -> DataFrame:
+    """(filter, n, id) of those of met (filter, n, id, fp, fq) whose sketch is near enough another one's of the same filter, by pieces of crowded filters."""
+    pieces = F.ceil(F.col("n") / piece).cast("int")
+    split = met.withColumn("own", F.pmod(F.xxhash64("id"), pieces).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), pieces - 1)))
+    light = split.groupBy("filter", "n", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j")).agg(F.collect_list(F.struct("id", "fp", "fq", "own")).alias("xs")).filter(F.size("xs") > 1)
+    most = apart(least)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            inner = batch.column("xs").values
+            ids, owns = inner.field("id").to_numpy(), inner.field("own").to_numpy()
+            prints = np.stack([inner.field(c).to_numpy() for c in ("fp", "fq")], axis=1).view(np.uint64)
+            rows, who = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+            two = (batch.column("i").to_numpy() != batch.column("j").to_numpy()).tolist()
+            for k, (s, e) in enumerate(itertools.pairwise(batch.column("xs").offsets.to_numpy().tolist())):
+                near = np.bitwise_count(prints[s:e, None, :] ^ prints[None, s:e, :]).sum(axis=2, dtype=np.int16) <= most
+                np.fill_diagonal(near, False)
+                if two[k]:
+                    near &= owns[s:e, None] != owns[None, s:e]
+                some = np.flatnonzero(near.any(axis=1))
+                rows.append(np.full(len(some), k))
+                who.append(ids[s:e][some])
+            at = pa.array(np.concatenate(rows))
+            yield pa.RecordBatch.from_arrays([batch.column("filter").take(at), batch.column("n").take(at), pa.array(np.concatenate(who))], ["filter", "n", "id"])
+        tidy()
+
+    return by_few(light).mapInArrow(run, "filter long, n long, id long").distinct()
 
 
 def _compare(unit: np.ndarray, weight: np.ndarray, side: np.ndarray | None, filters: list[np.ndarray], own: int, least: float) -> tuple[np.ndarray, np.ndarray]:
@@ -210,14 +256,19 @@ def near_links(classes: DataFrame, least: float = LEAST_COSINE, piece: int = PIE
     links with, and links between id and other span the links found.
 
     Each vector is listed under all filters it exceeds, by its id. Of filters with the same vectors, which near copies have many of, one stands for all, and
-    those with one vector are left out; then vectors are fetched, once for each filter that is left. Cosines are computed in double precision,
+    those with one vector are left out. Sketches of 128 bits tell in which filters a vector has another one near it; there only vectors are
+    fetched. Cosines are computed in double precision,
     and a link counts under the first filter that both share. A crowded filter is split into pieces, compared two by two in tasks of their own.
     """
     listed = cut(_decoded(classes, classes.count(), least))
+    prints = listed.select("id", "fp", "fq")
     pairs = listed.select("id", F.explode("filters").alias("filter"))
     counts = pairs.groupBy("filter").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y")).filter("n > 1")
     chosen = cut(counts.groupBy("n", "x", "y").agg(F.min("filter").alias("filter")).select("filter", "n"))
     met = pairs.join(F.broadcast(chosen), "filter") if chosen.count() <= BROADCAST_ROWS else spread_join(pairs, chosen, ["filter"], ["id"], chosen)
+    near = cut(_plausible(met.join(prints, "id"), least, piece))
+    sizes = cut(near.groupBy("filter").agg(F.count("*").alias("n")))
+    met = near.drop("n").join(F.broadcast(sizes), "filter") if sizes.count() <= BROADCAST_ROWS else spread_join(near.drop("n"), sizes, ["filter"], ["id"], sizes)
     shared = met.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("filter", "n"))).alias("shared"))
     full = classes.join(shared, "id")
     pieces = F.ceil(F.col("at.n") / piece).cast("int")
