@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.rows import numbered
 from .common import SPACE, bound, cut, free_name, table, uniform
 
 #: Words that a source or a document gives at most, as a multiple of what it has.
@@ -31,26 +32,29 @@ def units(docs: DataFrame) -> DataFrame:
 
 
 def targets(rows: DataFrame, weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
-    """(source, source_size, units, target): one row for each source, and only those meet in one task.
+    """(source, source_size, units, target): one row for each source.
 
     Sources by code point, null last, weigh as weights, repeating. They share all words; none gets over MOST times its own, and
     what is over goes to the others by weight. Filled like connected vessels: in the order of the level at which a source is
-    full, the level of the first that isn't full when all before it are is the level of all.
+    full, the level of the first that isn't full when all before it are is the level of all. Both orders are dealt to tasks by ranges, of which only the
+    sums meet.
     """
-    sums = cut(rows.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.count("*").alias("units")))
-    order = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last()))
-    weighed = sums.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), ((order - 1) % len(weights)) + 1))
-    filling = Window.orderBy("full_at", F.col("source").asc_nulls_last())
-    everything = Window.partitionBy()
-    leveled = (
-        weighed.withColumn("full_at", MOST * F.col("source_size") / F.col("weight"))
-        .withColumn("before", F.coalesce(F.sum(MOST * F.col("source_size")).over(filling.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-        .withColumn("after", F.sum("weight").over(filling.rowsBetween(0, Window.unboundedFollowing)))
-        .withColumn("level", (F.sum("source_size").over(everything) - F.col("before")) / F.col("after"))
-        .withColumn("level", F.max(F.when(F.col("full_at") >= F.col("level"), F.col("level"))).over(everything))
-    )
+    sums = rows.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.count("*").alias("units"))
+    placed = numbered(sums, [F.col("source").asc_nulls_last()], "place")
+    weighed = placed.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), ((F.col("place") - 1) % len(weights) + 1).cast("int"))).drop("place")
+    filling = [F.col("full_at").asc(), F.col("source").asc_nulls_last()]
+    ranged = cut(weighed.withColumn("full_at", MOST * F.col("source_size") / F.col("weight")).repartitionByRange(*filling).withColumn("range", F.spark_partition_id()))
+    by_range = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    total = F.sum("words").over(Window.partitionBy())
+    ranges = ranged.groupBy("range").agg(F.sum("source_size").alias("words"), F.sum("weight").alias("weights"))
+    ranges = F.broadcast(ranges.select("range", total.alias("words"), F.sum("weights").over(Window.partitionBy()).alias("weights"), F.coalesce(F.sum("words").over(by_range), F.lit(0)).alias("full"), F.coalesce(F.sum("weights").over(by_range), F.lit(0)).alias("passed")))
+    within = Window.partitionBy("range").orderBy(*filling).rowsBetween(Window.unboundedPreceding, -1)
+    before = F.col("full") + F.coalesce(F.sum("source_size").over(within), F.lit(0))
+    after = F.col("weights") - F.col("passed") - F.coalesce(F.sum("weight").over(within), F.lit(0))
+    leveled = ranged.join(ranges, "range").withColumn("level", (F.col("words") - MOST * before) / after)
+    level = F.broadcast(leveled.agg(F.max(F.when(F.col("full_at") >= F.col("level"), F.col("level"))).alias("whole")))
     most = MOST * F.col("source_size").cast("double")
-    return leveled.select("source", "source_size", "units", F.coalesce(F.least(most, F.col("weight") * F.col("level")), most).alias("target"))
+    return ranged.join(level).select("source", "source_size", "units", F.coalesce(F.least(most, F.col("weight") * F.col("whole")), most).alias("target"))
 
 
 def _meet(acc: Column, unit: Column, seed: int) -> Column:
