@@ -26,7 +26,8 @@ def keyed_lines(docs: DataFrame, min_chars: int, doc_id: str, text: str) -> Data
     row tells apart the texts of rows that share a doc_id.
     """
     lines = docs.filter(F.col(f"`{doc_id}`").isNotNull()).select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.xxhash64(f"`{text}`").alias("row"), F.posexplode(split_lines(F.col(f"`{text}`"))).alias("pos", "line"))
-    keyed = lines.select("id", "row", "pos", line_key(F.col("line")).alias("key")).filter(F.char_length("key") >= min_chars)
+    long = lines.filter(F.char_length("line") >= min_chars)  # before the work of making keys
+    keyed = long.select("id", "row", "pos", line_key(F.col("line")).alias("key")).filter(F.char_length("key") >= min_chars)
     return keyed.select("id", "row", "pos", F.xxhash64("key").alias("a"), F.xxhash64(F.lit(1), "key").alias("b"))
 
 
