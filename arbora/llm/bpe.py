@@ -7,6 +7,7 @@ import hashlib
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +17,9 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import by_few, table, tidy
 
 #: Pieces whose ids a task remembers in each of two generations, the longest of them in bytes, and answers of adjoin() it remembers.
-REMEMBERED, REMEMBERED_BYTES, REMEMBERED_PAIRS = 120_000, 64, 200_000
+REMEMBERED, REMEMBERED_BYTES, REMEMBERED_PAIRS = 200_000, 64, 200_000
+#: Prefixes whose last tokens are remembered.
+REMEMBERED_PREFIXES = 200_000
 #: Bytes of ids that are sent on together.
 OUTPUT_BYTES = 1 << 22
 #: Bytes of a piece up to which its table is filled from the end, only where it is needed; a longer one's is filled from the start.
@@ -41,6 +44,7 @@ class Vocabulary:
         self.usable: dict[bytes, int] = {}
         self.tails: dict[bytes, int] = {}
         self.pairs: dict[int, bool] = {}
+        self.prefixes: dict[bytes, int] = {}
         self.span = max(ranks.values(), default=0) + 1
         if missing := [b for b in range(256) if bytes([b]) not in ranks]:
             raise ValueError(f"no rank for the bytes {missing[:5]}")
@@ -54,6 +58,7 @@ class Vocabulary:
             if len(found) == 2:
                 self.halves[rank], self.usable[token] = (found[0], found[1]), rank
             self.pairs.clear()  # a pair of before may have a token now
+        self.sizes = {r: len(b) for r, b in self.bytes.items()}
         self.tails = {token[i:]: -1 for token in self.usable for i in range(1, len(token))} | self.usable
 
     def adjoin(self, left: int, right: int) -> bool:
@@ -117,30 +122,34 @@ class Vocabulary:
             last: list[int] = []
             self.extend(piece, last, 0)
             return self.walk(last, len(piece))
-        table: list[int | None] = [None] * len(piece)
-        out, upto = [], len(piece)
-        while upto:
-            token = table[upto - 1]
+        known, sizes = self.prefixes, self.sizes
+        if len(known) >= REMEMBERED_PREFIXES:
+            known.clear()
+        out, rest = [], piece
+        while rest:
+            token = known.get(rest)
             if token is None:
-                token = self._last(piece, table, upto)
+                token = self._last(rest)
             out.append(token)
-            upto -= len(self.bytes[token])
-        return out[::-1]
-
-    def _last(self, piece: bytes, table: list[int | None], end: int) -> int:
-        """The last token of the first end bytes, with the entries of table that it takes: what extend() does, from the end."""
-        tails, pairs = self.tails, self.pairs
-        ends, start = [], end - 1
-        while start >= 0 and (token := tails.get(piece[start:end])) is not None:
+            rest = rest[: -sizes[token]]
+        out.reverse()
+        return out
+
+    def _last(self, prefix: bytes) -> int:
+        """The last token of a prefix, by those of shorter ones: what extend() does, from the end. Prefixes are remembered from piece to piece."""
+        tails, pairs, known = self.tails, self.pairs, self.prefixes
+        ends, start = [], len(prefix) - 1
+        while start >= 0 and (token := tails.get(prefix[start:])) is not None:
             if token >= 0:
                 ends.append((start, token))
             start -= 1
         while ends:
             start, token = ends.pop()
             if start:
-                before = table[start - 1]
+                rest = prefix[:start]
+                before = known.get(rest)
                 if before is None:
-                    before = self._last(piece, table, start)
+                    before = self._last(rest)
                 pair = before * self.span + token
                 fits = pairs.get(pair)
                 if fits is None:
@@ -149,7 +158,7 @@ class Vocabulary:
                     fits = pairs[pair] = self.adjoin(before, token)
                 if not fits:
                     continue
-            table[end - 1] = token
+            known[prefix] = token
             return token
         raise AssertionError("each byte is a token, so each prefix has a last one")
 
@@ -213,6 +222,7 @@ class Encoder:
         self.known: dict[str, tuple[str, int, bytes, bytes]] = {}
         self.older: dict[str, tuple[str, int, bytes, bytes]] = {}
         self.vocabulary.pairs.clear()
+        self.vocabulary.prefixes.clear()
 
     def piece(self, piece: str) -> tuple[str, int, bytes, bytes]:
         """The ids joined by commas, their number, the bytes they decode to, and the ids as 32-bit integers."""
@@ -229,8 +239,11 @@ class Encoder:
         return found
 
     def pieces(self, text: str) -> list[tuple[str, int, bytes, bytes]]:
-        known, piece = self.known.get, self.piece
-        return [known(p) or piece(p) for p in self.split(text)]
+        parts = self.split(text)
+        found = list(map(self.known.get, parts))
+        if None in found:
+            found = [f or self.piece(p) for f, p in zip(found, parts)]
+        return found
 
     def encode(self, text: str) -> list[int]:
         return [int(i) for found in self.pieces(text) for i in found[0].split(",")]
@@ -310,6 +323,8 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, ids: bool = False
 
     names = [x.split()[0] for x in schema.split(", ")]
 
+    shown, number, decoded, packed = map(itemgetter, range(4))
+
     def rows(batch: pa.RecordBatch, at: int, out: list[list]) -> pa.RecordBatch:
         columns = [batch.column(0).slice(at, len(out[0])), pa.array(out[0], pa.int64()), pa.array(out[1], pa.string()), pa.array(out[2], pa.string())]
         if ids:
@@ -324,11 +339,11 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, ids: bool = False
             at = held = 0
             for value in batch.column(1):
                 found = known.pieces(value.as_py() or "")
-                out[0].append(sum([x[1] for x in found]))
-                out[1].append(hashlib.sha256(",".join([x[0] for x in found]).encode()).hexdigest())
-                out[2].append(hashlib.sha256(b"".join([x[2] for x in found])).hexdigest())
+                out[0].append(sum(map(number, found)))
+                out[1].append(hashlib.sha256(",".join(map(shown, found)).encode()).hexdigest())
+                out[2].append(hashlib.sha256(b"".join(map(decoded, found))).hexdigest())
                 if ids:
-                    out[3].append(b"".join([x[3] for x in found]))
+                    out[3].append(b"".join(map(packed, found)))
                     held += len(out[3][-1])
                 if held >= OUTPUT_BYTES:
                     yield rows(batch, at, out)
