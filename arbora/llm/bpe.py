@@ -7,6 +7,7 @@ import hashlib
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 from operator import itemgetter
 
 import numpy as np
@@ -18,6 +19,8 @@ from .common import by_few, table, tidy
 
 #: Pieces whose ids a task remembers in each of two generations, the longest of them in bytes, and answers of adjoin() it remembers.
 REMEMBERED, REMEMBERED_BYTES, REMEMBERED_PAIRS = 200_000, 64, 200_000
+#: Pieces that are kept from task to task.
+KEPT = 60_000
 #: Prefixes whose last tokens are remembered.
 REMEMBERED_PREFIXES = 200_000
 #: Bytes of ids that are sent on together.
@@ -215,13 +218,12 @@ class Encoder:
         self.vocabulary = vocabulary
         self.pattern = regex.compile(pattern)
         self.split = self.pattern.findall
-        self.forget()
-
-    def forget(self) -> None:
-        """Lets go of what was remembered, as at the end of a task."""
         self.known: dict[str, tuple[str, int, bytes, bytes]] = {}
         self.older: dict[str, tuple[str, int, bytes, bytes]] = {}
-        self.vocabulary.pairs.clear()
+
+    def forget(self) -> None:
+        """Lets go of most of what was remembered, as at the end of a task: of the pieces all but the first ones, which are the frequent ones."""
+        self.known, self.older = dict(islice(self.known.items(), KEPT)), {}
         self.vocabulary.prefixes.clear()
 
     def piece(self, piece: str) -> tuple[str, int, bytes, bytes]:
