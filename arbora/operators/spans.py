@@ -42,14 +42,14 @@ def innermost(points: DataFrame, spans: DataFrame, keys: list[str], point: str =
 
 
 def _islands(spans: DataFrame, keys: list[str], start: str, end: str, touch: bool) -> DataFrame:
-    order = Window.partitionBy(*keys).orderBy(start, end)
+    order = Window.partitionBy(*keys).orderBy(F.col(start).asc_nulls_last(), F.col(end).asc_nulls_last())
     before = F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1))
     gap = (F.col(start) > before) if touch else (F.col(start) >= before)
     return spans.withColumn("_new", F.when(before.isNull() | gap, 1).otherwise(0)).withColumn("_island", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
 
 
 def merged(spans: DataFrame, keys: list[str], start: str = "start", end: str = "end", touch: bool = False) -> DataFrame:
-    """The union of ranges, with how many went into each; those that only touch become one if asked."""
+    """The union of ranges, with how many went into each; those that only touch become one if asked. Unknown starts and ends come after known ones."""
     return _islands(spans, keys, start, end, touch).groupBy(*keys, "_island").agg(F.min(start).alias(start), F.max(end).alias(end), F.count("*").alias("n")).drop("_island")
 
 

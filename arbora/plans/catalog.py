@@ -129,7 +129,8 @@ def line_offsets(spark, d):
 def _spans(spark, d):
     item = table(spark, d, "lineitem")
     base = (F.col("l_linenumber") * 100).cast("long")
-    return item.select("l_orderkey", F.col("l_linenumber").cast("long").alias("span"), base.alias("start"), (base + F.col("l_quantity").cast("long") * 10).alias("end"))
+    length = F.rint("l_quantity").cast("long") * 10  # the SQL's cast rounds, halves to the even neighbour; Spark's cuts
+    return item.select("l_orderkey", F.col("l_linenumber").cast("long").alias("span"), base.alias("start"), (base + length).alias("end"))
 
 
 SPANS = """spans AS (SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS span, CAST(l_linenumber * 100 AS BIGINT) AS "start",

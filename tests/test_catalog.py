@@ -48,3 +48,15 @@ def test_ten_operators_and_the_pipeline_are_there():
     if llm is not None:
         names = set(llm.queries())
         assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
+
+
+def test_merge_intervals_of_unknown_and_fractional_rows(spark, tmp_path):
+    """Quantities round to the even neighbour and unknown places come last, as in the SQL; no two rows are alike, as it leaves the order of those open."""
+    item = [(1, 1, None), (1, 1, 20.0), (1, 3, 5.0), (1, None, 7.0), (2, 2, 9.5), (2, 3, 3.0), (3, 2, 10.5), (3, 3, 3.0), (4, 1, 0.5), (4, 2, 1.5), (4, 3, -1.5)]
+    item += [(5, None, None), (6, 1, None), (6, 1, 10.0), (6, 2, None), (None, 1, 2.5), (None, 1, 19.9), (None, None, 1.0), (7, 4, 1.0), (7, 5, 0.0), (7, 5, 2.0)]
+    spark.createDataFrame(item, "l_orderkey long, l_linenumber int, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    connection = duckdb.connect()
+    connection.execute(f"CREATE VIEW lineitem AS SELECT * FROM read_parquet('{tmp_path}/lineitem.parquet/*.parquet')")
+    want = connection.sql(catalog.SQL["merge_intervals"])
+    got = catalog.QUERIES["merge_intervals"](spark, str(tmp_path)).toArrow().to_pylist()
+    assert rows(want.columns, got) == rows(want.columns, [dict(zip(want.columns, r)) for r in want.fetchall()])
