@@ -31,6 +31,8 @@ APART = 44
 CROWD = 64
 #: Members of a larger bucket that are compared in one piece of work, where they are still apart.
 PIECE = 256
+#: Shingles whose sharing is counted at once.
+COLUMNS = 2048
 
 
 def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
@@ -183,59 +185,111 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.select("a", "b", "a_text", "b_text").mapInArrow(run, "a long, b long")
 
 
+def overlaps(own: list[np.ndarray]) -> np.ndarray:
+    """How many numbers each two of own share, each of which is distinct numbers; the diagonal isn't counted."""
+    tokens, at, often = np.unique(np.concatenate(own), return_inverse=True, return_counts=True)
+    shared = often > 1
+    column = np.cumsum(shared)[at] - 1
+    member = np.repeat(np.arange(len(own)), list(map(len, own)))
+    column, member = column[shared[at]], member[shared[at]]
+    order = np.argsort(column, kind="stable")
+    column, member = column[order], member[order]
+    total = np.zeros((len(own), len(own)), np.int64)
+    for start in range(0, int(shared.sum()), COLUMNS):
+        s, e = np.searchsorted(column, (start, start + COLUMNS))
+        has = np.zeros((len(own), COLUMNS), np.float32)
+        has[member[s:e], column[s:e] - start] = 1
+        total += (has @ has.T).astype(np.int64)
+    return total
+
+
+def _crowded(many: DataFrame) -> DataFrame | None:
+    """(crowd, cls, size, fp, fq, part) of the buckets in many (token, cls, size, fp, fq, part) with several parts; None if there are none.
+
+    A large group of near copies shares some eighty shingles, whose buckets have nearly the same members. Buckets are one crowd where their members with the
+    least hash are the same, unless the crowd has more pairs than its buckets together. Two crowds by one number are one, which loses no pair.
+    """
+    apart = many.groupBy("token").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count("*").alias("n"), F.min_by("cls", F.xxhash64("cls")).alias("hub"))
+    apart = cut(apart.filter("low <> high").select("token", "n", "hub"))
+    if apart.isEmpty():
+        return None
+    members = spread_join(many.select("token", "cls"), apart.select("token", "hub"), ["token"], ["cls"], apart).select("hub", "cls").distinct().groupBy("hub").agg(F.count("*").alias("members"))
+    fewer = members.join(apart.groupBy("hub").agg(F.sum(F.col("n") * F.col("n")).alias("squares")), "hub").filter("members * members <= squares").select("hub", F.col("hub").alias("crowd"))
+    named = cut(apart.join(fewer, "hub", "left").select("token", F.coalesce("crowd", "token").alias("crowd")))
+    return cut(spread_join(many, named, ["token"], ["cls"], apart).select("crowd", "cls", "size", "fp", "fq", "part").dropDuplicates(["crowd", "cls"]))
+
+
 def _crowds(buckets: DataFrame, parts: DataFrame, texts: DataFrame) -> DataFrame | None:
     """(a, b): links between parts of crowded buckets whose members the links so far don't all connect; None if there are no such buckets.
 
-    A bucket is split into pieces, which are compared two by two in tasks of their own: first the sketches, and then the whole texts of what may still
-    link to another part. Only spanning links leave a piece of work.
+    A crowd is split into pieces, which are compared two by two in tasks of their own: first the sketches, and then the whole texts of what may still
+    link to another part. Its largest part has pieces of its own, which meet only those of others. Only spanning links leave a piece of work.
     """
-    many = buckets.filter(F.col("n") > CROWD).join(parts.withColumnRenamed("node", "cls"), "cls", "left").withColumn("part", F.coalesce("component", "cls")).drop("component")
-    many = cut(many)
-    apart = cut(many.groupBy("token").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count("*").alias("n")).filter("low <> high").select("token", "n"))
-    if apart.isEmpty():
+    many = buckets.filter(F.col("n") > CROWD).join(parts.withColumnRenamed("node", "cls"), "cls", "left").withColumn("part", F.coalesce("component", "cls"))
+    crowds = _crowded(cut(many.select("token", "cls", "size", "fp", "fq", "part")))
+    if crowds is None:
         return None
-    pieces = F.ceil(F.col("n") / PIECE).cast("int")
-    left = spread_join(many.drop("n"), apart, ["token"], ["cls"], apart)
-    split = left.withColumn("own", F.pmod(F.xxhash64("cls"), pieces).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), pieces - 1)))
-    unit = ["token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")]
+    sizes = crowds.groupBy("crowd", "part").agg(F.count("*").alias("n"))
+    shape = sizes.groupBy("crowd").agg(F.max_by("part", F.struct("n", "part")).alias("main"), F.max("n").alias("most"), F.sum("n").alias("n"))
+    alone = F.when(F.col("most") >= PIECE, F.col("most")).otherwise(0)
+    shape = cut(shape.select("crowd", "n", "main", F.ceil(alone / PIECE).cast("int").alias("mains"), F.ceil((F.col("n") - alone) / PIECE).cast("int").alias("others")))
+    left = spread_join(crowds, shape.drop("n"), ["crowd"], ["cls"], shape.select("crowd", "n"))
+    draw = lambda pieces: F.pmod(F.xxhash64("cls"), F.col(pieces)).cast("int")
+    within = (F.col("mains") > 0) & (F.col("part") == F.col("main"))
+    placed = left.withColumn("own", F.when(within, draw("mains")).otherwise(F.col("mains") + draw("others")))
+    split = placed.withColumn("other", F.explode(F.sequence(F.when(within, F.col("mains")).otherwise(0), F.col("mains") + F.col("others") - 1)))
+    unit = ["crowd", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")]
+
+    def fitting(part: np.ndarray, side: np.ndarray, size: np.ndarray, prints: np.ndarray, s: int, e: int) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of a unit's members, from s to e, that may link two parts; between its pieces if it has two."""
+        a, b = (x + s for x in np.triu_indices(e - s, 1))
+        meet = part[a] != part[b]
+        if (side[s:e] != side[s]).any():
+            meet &= side[a] != side[b]
+        a, b = a[meet], b[meet]
+        fit = plausible(size, prints, a, b)
+        return a[fit], b[fit]
 
     def survivors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cuts, cls, size, prints = _members(batch.column("xs"))
-            part = batch.column("xs").values.field("part").to_numpy()
-            rows: list[tuple[int, np.ndarray]] = []
-            for k, (s, e) in enumerate(cuts):
-                a, b = (x + s for x in np.triu_indices(e - s, 1))
-                fit = (part[a] != part[b]) & plausible(size, prints, a, b)
-                rows.append((k, np.unique(np.concatenate([a[fit], b[fit]]))))
-            at = np.concatenate([np.full(len(x), k) for k, x in rows]).astype(np.int64)
-            who = np.concatenate([x for _, x in rows]).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(at)) for c in ("token", "i", "j")), pa.array(cls[who]), pa.array(size[who]), pa.array(prints[who, 0].view(np.int64)), pa.array(prints[who, 1].view(np.int64)), pa.array(part[who])], ["token", "i", "j", "cls", "size", "fp", "fq", "part"])
-
-    light = split.groupBy(*unit).agg(F.collect_list(F.struct("cls", "size", "fp", "fq", "part")).alias("xs")).filter(F.size("xs") > 1)
-    kept = cut(light.mapInArrow(survivors, "token long, i int, j int, cls long, size long, fp long, fq long, part long"))
-    heavy = spread_join(kept, _texts(texts, kept.select("cls")), ["cls"], ["token", "i", "j"])
+            part, side = (batch.column("xs").values.field(c).to_numpy() for c in ("part", "own"))
+            rows = [(k, np.unique(np.concatenate(fitting(part, side, size, prints, s, e)))) for k, (s, e) in enumerate(cuts)]
+            at = np.concatenate([np.empty(0, np.int64), *(np.full(len(x), k) for k, x in rows)]).astype(np.int64)
+            who = np.concatenate([np.empty(0, np.int64), *(x for _, x in rows)]).astype(np.int64)
+            units = [batch.column(c).take(pa.array(at)) for c in ("crowd", "i", "j")]
+            light = [cls[who], size[who], prints[who, 0].view(np.int64), prints[who, 1].view(np.int64), part[who], side[who]]
+            yield pa.RecordBatch.from_arrays([*units, *map(pa.array, light)], ["crowd", "i", "j", "cls", "size", "fp", "fq", "part", "own"])
+
+    light = split.groupBy(*unit).agg(F.collect_list(F.struct("cls", "size", "fp", "fq", "part", "own")).alias("xs")).filter(F.size("xs") > 1)
+    kept = cut(light.mapInArrow(survivors, "crowd long, i int, j int, cls long, size long, fp long, fq long, part long, own int"))
+    heavy = spread_join(kept, _texts(texts, kept.select("cls")), ["cls"], ["crowd", "i", "j"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cuts, cls, size, prints = _members(batch.column("xs"))
             inner = batch.column("xs").values
-            part, words = inner.field("part").to_numpy().copy(), inner.field("text")
+            part, side, words = inner.field("part").to_numpy().copy(), inner.field("own").to_numpy(), inner.field("text")
             out = []
             for s, e in cuts:
                 own = [shingles(words[k].as_py()) for k in range(s, e)]
-                a, b = (x + s for x in np.triu_indices(e - s, 1))
-                fit = (part[a] != part[b]) & plausible(size, prints, a, b)
-                for x, y in zip(a[fit].tolist(), b[fit].tolist()):
-                    if part[x] != part[y] and alike(own[x - s], own[y - s]):
+                a, b = fitting(part, side, size, prints, s, e)
+                if len(a) > 4 * (e - s):  # many pairs are counted all at once, few one by one
+                    both = overlaps(own)[a - s, b - s]
+                    close = WHOLE * both >= PART * (size[a] + size[b] - both)
+                    a, b, sure = a[close], b[close], True
+                else:
+                    sure = False
+                for x, y in zip(a.tolist(), b.tolist()):
+                    if part[x] != part[y] and (sure or alike(own[x - s], own[y - s])):
                         out.append((cls[x], cls[y]))
                         part[s:e][part[s:e] == part[y]] = part[x]
             found = np.array(out, np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
         tidy()
 
-    row = F.struct("cls", "size", "fp", "fq", "part", "text")
-    return heavy.groupBy("token", "i", "j").agg(F.collect_list(row).alias("xs")).select("xs").mapInArrow(compare, "a long, b long")
+    row = F.struct("cls", "size", "fp", "fq", "part", "own", "text")
+    return heavy.groupBy("crowd", "i", "j").agg(F.collect_list(row).alias("xs")).select("xs").mapInArrow(compare, "a long, b long")
 
 
 def near_links(texts: DataFrame) -> DataFrame:
@@ -245,7 +299,7 @@ def near_links(texts: DataFrame) -> DataFrame:
     look up by, so buckets make the search whole: sets with that similarity share one of their first shingles, a fifth and one more of each, in any order
     that is the same for all; in this one rare shingles come first, so buckets are small. Candidates whose sizes or longer sketches (128 bits) are too far
     apart are discarded, and survivors verified by their whole texts. Crowded buckets are compared with one member first, and pairwise
-    in pieces only where that leaves them apart.
+    in pieces only where that leaves them apart, those of the same group of near copies together.
     """
     sketches = cut(_sketches(texts))
     buckets = cut(_buckets(sketches))

@@ -56,3 +56,29 @@ def test_repeated_rows(spark):
 def test_none(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert similar.keep_one(docs).count() == 0
+
+
+def test_overlaps(monkeypatch):
+    monkeypatch.setattr(similar, "COLUMNS", 7)
+    chance = np.random.default_rng(5)
+    own = [np.unique(chance.integers(-40, 40, n)) for n in (0, 1, 30, 90, 60, 60)]
+    got = similar.overlaps(own)
+    assert all(got[i, j] == len(set(own[i].tolist()) & set(own[j].tolist())) for i in range(len(own)) for j in range(i))
+
+
+def test_a_large_group_is_compared_once(spark, monkeypatch):
+    """Its members share many shingles; they are one crowd, not one for each shingle, and each text goes once to each piece at most."""
+    monkeypatch.setattr(similar, "CROWD", 8)
+    monkeypatch.setattr(similar, "PIECE", 16)
+    chance, asked, fetch = np.random.default_rng(8), [], similar._texts
+    base, texts = [f"w{x}" for x in range(150)], []
+    for k in range(60):
+        copy = list(base)
+        for at in chance.choice(150, k % 8, replace=False):
+            copy[int(at)] = f"new{k}"
+        texts.append(" ".join(copy))
+    monkeypatch.setattr(similar, "_texts", lambda texts, wanted: (asked.append(wanted.count()), fetch(texts, wanted))[1])
+    got = similar.keep_one(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).select("doc_id").collect()
+    want = set(plain_groups(texts).values())
+    assert sorted(r["doc_id"] for r in got) == sorted(want) and 1 < len(want) < 50
+    assert len(asked) == 2 and asked[-1] <= len(texts) * (len(texts) // 16 + 2), asked
